@@ -45,16 +45,12 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
-    def _write(self, groups: DataFrame, mode: str) -> None:
-        (
-            groups.repartition(self.buckets, "digest")
-            .write.mode(mode)
-            .format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .option("path", self.path or new_path(self.spark, self.table))
-            .saveAsTable(self.table)
-        )
+    def _write(self, groups: DataFrame) -> None:
+        writer = groups.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+        if self.exists():
+            writer.mode("append").saveAsTable(self.table)
+        else:
+            writer.option("path", self.path or new_path(self.spark, self.table)).saveAsTable(self.table)
 
     def ingest(self, digests: DataFrame) -> DataFrame:
         """Add (doc_id, n_chars, digest) rows; return the new groups.
@@ -72,9 +68,9 @@ class DigestIndex:
         if self.exists():
             old = self.spark.table(self.table).select("digest")
             fresh = materialize(groups.join(old.hint("merge"), "digest", "left_anti"), "fresh")
-            self._write(fresh, "append")
+            self._write(fresh)
             return fresh
-        self._write(groups, "overwrite")
+        self._write(groups)
         return self.spark.table(self.table)
 
 
@@ -116,15 +112,15 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     rows = digests_of(docs)
     groups = _ingested(rows, index or DigestIndex(docs.sparkSession))
     same = rows.groupBy("digest", "doc_id", "n_chars").count()
-    d, k, c, n = free_name(docs, "digest", "keep_id", "n_best", "n_same")
+    d, k, c, n, own = free_name(docs, "best_digest", "best_id", "best_chars", "n_same", "own_digest")
     best = groups.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("n_chars").alias(c))
     best = materialize(
         best.join(same, (F.col(d) == same.digest) & F.col(k).eqNullSafe(same.doc_id) & (F.col(c) == same.n_chars)).select(d, k, c, F.col("count").alias(n)),
         "best",
     )
     text = F.coalesce("text", F.lit(""))
-    tagged = docs.withColumn("__digest__", F.unhex(digest(text)))
-    kept = tagged.join(best.hint("merge"), (F.col("__digest__") == F.col(d)) & F.col("doc_id").eqNullSafe(F.col(k)) & (F.length(text) == F.col(c)))
+    tagged = docs.withColumn(own, F.unhex(digest(text)))
+    kept = tagged.join(best.hint("merge"), (F.col(own) == F.col(d)) & F.col("doc_id").eqNullSafe(F.col(k)) & (F.length(text) == F.col(c)))
     # A row that is there several times over, doc_id and all, stays once.
     once = kept.where(F.col(n) == 1).select(docs.columns)
     again = kept.where(F.col(n) > 1).dropDuplicates([d]).select(docs.columns)
