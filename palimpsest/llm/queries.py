@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontam, exact_dedup, license_scan, mixing, pii
+from palimpsest.llm import decontam, exact_dedup, html_extract, langid, license_scan, mixing, omh, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(_table(spark, sf_dir, "documents"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "lang", "source", "epochs")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -34,13 +42,33 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_doc", "p_site", "p_quality", "p_toxic", "kept")
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.report(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_license_scan": op2_license_scan,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mixing": op5_mixing,
+        "op6_language_id": op6_language_id,
         "op7_decontamination": op7_decontamination,
         "op8_pii": op8_pii,
+        "op9_quality": op9_quality,
+        "op10_order_minhash": op10_order_minhash,
+        "pipeline": pipeline,
     }
 
 
