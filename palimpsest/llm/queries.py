@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontam, exact_dedup, html_extract, langid, license_scan, mixing, omh, pii, quality
+from palimpsest.llm import decontam, exact_dedup, html_extract, langid, license_scan, mixing, omh, pii, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_license_scan": op2_license_scan,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
