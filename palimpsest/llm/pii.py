@@ -133,14 +133,13 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, pmi: float = PMI,
     pairs = near.select("row", "rank", "value", "term").distinct().groupBy("rank", "value", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
     pairs = materialize(pairs, "pairs")
     owners = rows.select("row", F.explode("base").alias("b")).select("row", "b.rank", "b.value").distinct().groupBy("rank", "value").agg(F.count(F.lit(1)).alias("n_entity"))
-    # Document counts of all terms of the corpus, combined before the shuffle.
-    # A term of fewer documents than the support needs no count: it has no pair.
+    # Document counts of all terms of the corpus, combined before the shuffle. No
+    # semi-join here: it would go below the aggregate and shuffle every occurrence.
     bag = F.array_distinct(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))
-    wanted = pairs.select("term").distinct()
     counts = docs.select(F.explode(bag).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = F.lit(max(1, rows.count()))
     weighed = (
-        pairs.join(counts.join(wanted, "term", "left_semi"), "term")
+        pairs.join(counts, "term")
         .join(owners, ["rank", "value"])
         .withColumn("disclosure", F.col("n_pair") / F.greatest("n_term", "n_pair"))
         .withColumn("pmi", F.log2(F.col("n_pair") * total / (F.greatest("n_term", "n_pair") * F.col("n_entity"))))
