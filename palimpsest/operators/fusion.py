@@ -26,7 +26,7 @@ def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return ranked(both.groupBy("qid", "doc_id").agg(F.sum("part").alias("score")))
+    return ranked(both.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 12).alias("score")))
 
 
 def linear(first: DataFrame, second: DataFrame, alpha: float = 0.5) -> DataFrame:

@@ -83,7 +83,7 @@ BM25 = f"""{INDEX},
 need as (select qid, greatest(1, ceil(count(*) * 0.6)) need from qt group by 1),
 have as (select qid, count(*) have from qt join terms using (term) group by 1),
 able as (select qid, need from need join have using (qid) where have >= need),
-scored as (select qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score, count(*) matched, any_value(need) need
+scored as (select qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) score, count(*) matched, any_value(need) need
     from qt join able using (qid) join terms using (term) join postings using (term) join doc_stats using (doc_id), coll group by qid, doc_id),
 bm25 as (select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) - 1 rank from scored where matched >= need) where rank < 200)"""
 
