@@ -11,7 +11,10 @@ THRESHOLD or more are linked. Classes are the connected components.
 
 To spare large groups all their pairs, each bucket first aligns its members with
 one leader, which is the same for all buckets that hold it. Members that ended up
-in the leader's class need no more; across classes all pairs of a bucket follow.
+in the leader's class need no more. Across classes, pairs of a bucket follow; but a
+text can only be linked to one of another class if THRESHOLD of its k-mers occur in
+other classes. Texts that merely share a passage have too many k-mers of their own,
+and are left out before pairs are made.
 
 Defined cases: texts with the same words (ASCII case and punctuation aside) are
 one class and are collapsed before anything else; a text of fewer than WORDS words
@@ -203,7 +206,7 @@ def _dense(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wkey and seq (32-bit k-mer hashes) of the wanted rows (doc_id, wkey)."""
+    """wkey and seq (32 bits of each k-mer's hash) of the wanted rows (doc_id, wkey)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,11 +219,11 @@ def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 wkeys = _wkeys(hashes, own, block.n)
                 want = pdf["wkey"].iloc[first : first + len(texts)]
                 keep = [i for i, w in enumerate(want) if bytes(w) == wkeys[i]]
-                yield pd.DataFrame({"wkey": [wkeys[i] for i in keep], "seq": [small[cut[i] : cut[i + 1]].tobytes() for i in keep]})
+                yield pd.DataFrame({"wkey": [wkeys[i] for i in keep], "seq": [small[cut[i] : cut[i + 1]].view(np.int32) for i in keep]})
 
     ids = wanted.select(F.col("doc_id").alias("w_id"), "wkey")
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "wkey")
-    return rows.mapInPandas(run, "wkey binary, seq binary").dropDuplicates(["wkey"])
+    return rows.mapInPandas(run, "wkey binary, seq array<int>").dropDuplicates(["wkey"])
 
 
 def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -228,7 +231,7 @@ def _verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sim = np.array([align(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)], dtype=float)
+            sim = np.array([align(np.asarray(x, np.int32), np.asarray(y, np.int32), threshold) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)], dtype=float)
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": sim})[sim > 0]
 
     left = seqs.select(F.col("wkey").alias("a"), F.col("seq").alias("sa"))
@@ -256,6 +259,27 @@ def components(links: DataFrame) -> DataFrame:
         label = nxt
 
 
+def _mixed(member: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes."""
+    c = F.xxhash64("comp")
+    keys = member.groupBy("key").agg(F.min(c).alias("x"), F.max(c).alias("y")).where("x < y").select("key")
+    return materialize(member.join(materialize(keys, "mixed").hint("merge"), "key", "left_semi"), "members")
+
+
+def _crossing(member: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """wkey of the members of which enough k-mers occur in other classes.
+
+    c aligned k-mers of n and m make threshold * (n + m - c) at most, so that c is
+    at least threshold * n, and each of them is in the other text's class.
+    """
+    texts = member.select("wkey", F.xxhash64("comp").alias("of"), "n").distinct()
+    grams = texts.join(seqs.hint("merge"), "wkey").select("wkey", "of", "n", F.explode("seq").alias("gram"))
+    both = grams.groupBy("gram").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("gram")
+    both = materialize(both, "grams")
+    shared = grams.join(both.hint("merge"), "gram", "left_semi").groupBy("wkey", "n").agg(F.count(F.lit(1)).alias("c"))
+    return materialize(shared.where(F.col("c") >= threshold * F.col("n") - 1e-6).select("wkey"), "able")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, reps, links): rows as signatures(), reps (wkey, comp, class_id, n_links), links."""
     rows = signatures(docs)
@@ -274,16 +298,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     seqs = materialize(_sequences(docs, wanted), "sequences")
     first = _verified(star, seqs, threshold)
     comp = components(first)
-    # Buckets whose members are of several classes still: all pairs across them.
-    member = buckets.join(comp.hint("merge"), "wkey", "left").select("key", "wkey", "n", F.coalesce("comp", "wkey").alias("comp"))
-    mixed = buckets.join(comp.hint("merge"), "wkey", "left").groupBy("key").agg(F.min(F.coalesce("comp", "wkey")).alias("x"), F.max(F.coalesce("comp", "wkey")).alias("y")).where("x < y").select("key")
-    member = materialize(member.join(materialize(mixed, "mixed").hint("merge"), "key", "left_semi"), "members")
-    other = member.select("key", F.col("wkey").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    # Buckets whose members are of several classes still.
+    labelled = buckets.select("key", "wkey", "n").join(comp.hint("merge"), "wkey", "left").select("key", "wkey", "n", F.coalesce("comp", "wkey").alias("comp"))
+    member = _mixed(materialize(labelled, "labelled"))
+    member = _mixed(materialize(member.join(_crossing(member, seqs, threshold).hint("merge"), "wkey", "left_semi"), "crossing"))
+    # Each member outside its bucket's largest class against all of other classes.
+    sizes_of = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"))
+    minor = member.join(materialize(sizes_of.select("key", F.col("m.comp").alias("major")), "major").hint("merge"), "key").where(F.col("comp") != F.col("major"))
+    other = member.select("key", F.col("wkey").alias("w"), F.col("n").alias("nw"), F.col("comp").alias("cw"))
     cross = (
-        member.withColumnsRenamed({"wkey": "a", "n": "na", "comp": "ca"})
-        .join(other.hint("merge"), "key")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= low * F.greatest("na", "nb")))
-        .select("a", "b")
+        minor.join(other.hint("merge"), "key")
+        .where((F.col("comp") != F.col("cw")) & (F.least("n", "nw") >= low * F.greatest("n", "nw")))
+        .select(F.least("wkey", "w").alias("a"), F.greatest("wkey", "w").alias("b"))
         .distinct()
     )
     cross = materialize(cross.join(star.hint("merge"), ["a", "b"], "left_anti"), "cross")
