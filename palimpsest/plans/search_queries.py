@@ -492,11 +492,11 @@ def r4(s, d):
     return _out(search.bm25(i, q, 10, expansions=exp.select("qtoken", "term")))
 
 
-@query("x7_jaro", "select a.item_id a_id, b.item_id b_id, round(jaro_similarity(string_split(a.text, ' ')[1], string_split(b.text, ' ')[1]), 6) v from benchmark a join benchmark b on b.item_id between a.item_id + 1 and a.item_id + 5")
+@query("x7_jaro", "select a.item_id a_id, b.item_id b_id, round(jaro_similarity(string_split(a.text, ' ')[1], string_split(b.text, ' ')[1]), 6) v from benchmark a join benchmark b on b.item_id between a.item_id + 1 and a.item_id + 5 where regexp_matches(string_split(a.text, ' ')[1] || string_split(b.text, ' ')[1], '^[A-Za-z.,]+$')")
 def x7(s, d):
     w = table(s, d, "benchmark").select(F.col("item_id").alias("b_id"), F.get(F.split("text", " "), F.lit(0)).alias("b"))
     a = w.select(F.col("b_id").alias("a_id"), F.col("b").alias("a"), F.explode(F.sequence(F.col("b_id") + 1, F.col("b_id") + 5)).alias("b_id"))
-    return a.join(w, "b_id").select("a_id", "b_id", F.round(udfs.jaro("a", "b"), 6).alias("v"))
+    return a.join(w, "b_id").where(F.concat("a", "b").rlike("^[A-Za-z.,]+$")).select("a_id", "b_id", F.round(udfs.jaro("a", "b"), 6).alias("v"))
 
 
 def _vocabulary(s, d):
