@@ -4,6 +4,8 @@ python -m palimpsest build  --docs PATH --index PATH
 python -m palimpsest search --index PATH --query TEXT [--query TEXT ...] [--query-file FILE] [--k N] [--explain] [--json]
 python -m palimpsest mentions --index PATH --term TEXT [--limit N] [--context N]
 python -m palimpsest status --index PATH
+python -m palimpsest repl --index PATH < requests.jsonl
+python -m palimpsest serve --index PATH [--port N]
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("--context", type=int, default=0)
     t = sub.add_parser("status")
     t.add_argument("--index", required=True)
+    sub.add_parser("repl").add_argument("--index", required=True)
+    v = sub.add_parser("serve")
+    v.add_argument("--index", required=True)
+    v.add_argument("--port", type=int, default=8765)
     for x in (b, s):
         x.add_argument("--config", action="append", default=[])
     return p
@@ -61,6 +67,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     index = ix.Index.load(spark, args.index)
     if args.command == "status":
         print(json.dumps({"documents": index.docs.count(), "terms": index.terms.count(), "postings": index.postings.count()}))
+    elif args.command in ("repl", "serve"):
+        from palimpsest import server
+
+        service = server.Service(spark, index)
+        if args.command == "serve":
+            server.make_server(service, args.port).serve_forever()
+        for line in server.answer_lines(service, sys.stdin):
+            print(line, flush=True)
     elif args.command == "mentions":
         for r in search.mentions(index.docs, args.term, args.limit, args.context).toLocalIterator():
             print(json.dumps({k: v for k, v in r.asDict().items() if v is not None}, ensure_ascii=False))

@@ -222,3 +222,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["search", "--index", str(tmp_path / "i"), "--query", "rigidbody mass", "--json"], spark) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[0])["doc_id"] == 1
     assert main(["search", "--index", str(tmp_path / "i")], spark) == 2
+
+
+def test_service(spark, idx):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from palimpsest.server import Service, answer_lines, make_server
+
+    service = Service(spark, idx)
+    out = [json.loads(x) for x in answer_lines(service, ['{"query": "rigidbody mass", "k": 1}', "", "{bad", '{"read": "Guide/a.html"}', '{"read": "none"}', '{"mentions": "bod"}', "{}"])]
+    assert out[0]["hits"][0]["doc_id"] == 1 and "error" in out[1] and out[2]["text"].startswith("Lights") and "error" in out[3] and out[4]["sources"][0]["count"] == 3 and "error" in out[5]
+    web = make_server(service)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{web.server_address[1]}"
+    assert json.load(urllib.request.urlopen(f"{url}/health")) == {"status": "ok"}
+    post = lambda path, body: urllib.request.urlopen(urllib.request.Request(url + path, json.dumps(body).encode()))
+    assert json.load(post("/search", {"query": "terrain"}))["hits"][0]["doc_id"] == 6
+    for path, body, status in (("/search", {"no": 1}, 400), ("/x", {}, 404), ("/read", {"source": "none"}, 404)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            post(path, body)
+        assert e.value.code == status
+    web.shutdown()
