@@ -10,7 +10,7 @@ k-mers aligned of n and m, the similarity is c / (n + m - c), and pairs of
 THRESHOLD or more are linked. Classes are the connected components.
 
 To spare large groups all their pairs, each bucket first aligns its members with
-one leader, which is the same for all buckets that hold it. Members that ended up
+one leader, the one with the most company in all buckets. Members that ended up
 in the leader's class need no more. Across classes, pairs of a bucket follow; but a
 text can only be linked to one of another class if THRESHOLD of its k-mers occur in
 other classes. Texts that merely share a passage have too many k-mers of their own,
@@ -287,12 +287,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         rows.groupBy("wkey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts"
     )
     held = texts.where(F.col("n") > 0).select("wkey", "n", F.explode("keys").alias("key"))
-    leaders = materialize(held.groupBy("key").agg(F.min("wkey").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader"), "leaders")
-    buckets = materialize(held.join(leaders.hint("merge"), "key"), "buckets")
+    sized = held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(held.join(materialize(sized, "sizes").hint("merge"), "key"), "shared")
+    # The leader is the member with the most company over all its buckets: of many
+    # variants the one that the others vary.
+    central = materialize(shared.groupBy("wkey").agg(F.sum("size").alias("weight")), "central")
+    placed = materialize(shared.join(central.hint("merge"), "wkey").select("key", "wkey", "n", "weight"), "placed")
+    leaders = materialize(placed.groupBy("key").agg(F.max(F.struct("weight", "wkey")).alias("m")).select("key", F.col("m.wkey").alias("leader")), "leaders")
+    buckets = materialize(placed.drop("weight").join(leaders.hint("merge"), "key"), "buckets")
     sizes = texts.select("wkey", "n")
-    star = buckets.where("leader < wkey").select(F.col("leader").alias("a"), F.col("wkey").alias("b"), "n").distinct()
+    star = buckets.where("leader <> wkey").select(F.col("leader").alias("a"), F.col("wkey").alias("b"), "n").distinct()
     low = threshold * (1 - 1e-9)
-    star = star.join(sizes.withColumnsRenamed({"wkey": "a", "n": "na"}).hint("merge"), "a").where(F.least("n", "na") >= low * F.greatest("n", "na")).select("a", "b")
+    star = star.join(sizes.withColumnsRenamed({"wkey": "a", "n": "na"}).hint("merge"), "a").where(F.least("n", "na") >= low * F.greatest("n", "na"))
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = materialize(star, "star")
     wanted = buckets.select("wkey").distinct().join(texts.select("wkey", "doc_id").hint("merge"), "wkey")
     seqs = materialize(_sequences(docs, wanted), "sequences")
