@@ -27,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import vec
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import discard, materialize
 
 LENGTH, GRAM = 200, 50
 SHARD = 1 << 20
@@ -226,14 +227,18 @@ def _pieces(ranges: np.ndarray, length: int, most: int) -> list[tuple[int, int]]
 
 
 def _shards(texts: DataFrame, ranges: int, length: int, size: int) -> DataFrame:
-    """kind 0: repeats found in a shard; kind 1: digests of a range; kind 2: a shard's layout."""
+    """kind 0: repeats found in a shard; kind 1: digests of a range; kind 2: a shard's layout.
+
+    Kinds 0 and 2 have negative ranges, spread over as many groups as there are ranges.
+    """
     shift = np.uint64(64 - (ranges - 1).bit_length()) if ranges > 1 else None
 
     def one(held: list[tuple[int, int, bytes]]) -> Iterator[dict]:
         name = hashlib.sha1(repr([(r, s) for r, s, _ in held]).encode()).hexdigest()
         offsets, repeated, hand, big, small = shard_repeats([x for _, _, x in held], length)
-        yield {"kind": 2, "shard": name, "rng": -1, "a": offsets.tobytes(), "b": np.array([r for r, _, _ in held], np.int64).tobytes(), "c": np.array([s for _, s, _ in held], np.int64).tobytes()}
-        yield {"kind": 0, "shard": name, "rng": -1, "a": repeated.astype(np.int32).tobytes(), "b": b"", "c": b""}
+        rest = -1 - int(name[:8], 16) % ranges
+        yield {"kind": 2, "shard": name, "rng": rest, "a": offsets.tobytes(), "b": np.array([r for r, _, _ in held], np.int64).tobytes(), "c": np.array([s for _, s, _ in held], np.int64).tobytes()}
+        yield {"kind": 0, "shard": name, "rng": rest, "a": repeated.astype(np.int32).tobytes(), "b": b"", "c": b""}
         at = (big >> shift).astype(np.int64) if shift is not None else np.zeros(len(big), np.int64)
         cut = np.searchsorted(at, np.arange(ranges + 1))
         for k in range(ranges):
@@ -257,13 +262,19 @@ def _shards(texts: DataFrame, ranges: int, length: int, size: int) -> DataFrame:
         if held:
             yield pd.DataFrame(list(one(held)))
 
-    return materialize(texts.mapInPandas(run, "kind int, shard string, rng long, a binary, b binary, c binary"), "shards")
+    return texts.mapInPandas(run, "kind int, shard string, rng long, a binary, b binary, c binary")
 
 
 def _merge_ranges(shards: DataFrame) -> DataFrame:
-    """(shard, a): starts in a shard whose digest another shard has too."""
+    """kind 0: (shard, a) starts that are repeats in the shard or in another one; kind 2: layouts, as they are.
+
+    The digests are shuffled once, straight from the shards.
+    """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns="rng")
+        if pdf["kind"].iloc[0] != 1:
+            return pdf
         parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
         big, small = merged(parts)
         out = []
@@ -272,11 +283,18 @@ def _merge_ranges(shards: DataFrame) -> DataFrame:
                 near = np.minimum(np.searchsorted(big, x), len(big) - 1)
                 hit = (big[near] == x) & (small[near] == s)
                 if hit.any():
-                    out.append((shard, np.frombuffer(c, np.int32)[hit].tobytes()))
-        return pd.DataFrame(out, columns=["shard", "a"])
+                    out.append((0, shard, np.frombuffer(c, np.int32)[hit].tobytes(), b"", b""))
+        return pd.DataFrame(out, columns=["kind", "shard", "a", "b", "c"])
+
+    return materialize(shards.groupBy("rng").applyInPandas(merge, "kind int, shard string, a binary, b binary, c binary"), "merged")
+
 
-    parts = shards.where("kind = 1").select("shard", "rng", "a", "b", "c")
-    return materialize(parts.groupBy("rng").applyInPandas(merge, "shard string, a binary"), "merged")
+def _release(*done: DataFrame) -> None:
+    """Delete tables that are used up, and let Spark drop the shuffles of finished jobs."""
+    for df in done:
+        discard(df)
+    gc.collect()
+    done[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -305,12 +323,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
     texts = keyed.join(cand.hint("merge"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key"))).select("row", "text", "ranges")
-    texts = materialize(texts.dropDuplicates(["row"]), "candidates")
+    # A text comes twice only if a row is there several times over, doc_id and all.
+    again = seen.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    texts = materialize(texts if again.isEmpty() else texts.dropDuplicates(["row"]), "candidates")
+    _release(runs, twice)
     windows = texts.select(F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, x: acc + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
     ranges = 1 << max(0, int(windows * 76 / RANGE_ROWS)).bit_length()
     shards = _shards(texts, ranges, length, shard)
-    found = _merge_ranges(shards).unionByName(shards.where("kind = 0").select("shard", "a"))
-    layout = shards.where("kind = 2").select(F.col("shard").alias("of"), F.col("a").alias("offsets"), F.col("b").alias("owners"), F.col("c").alias("begins"))
+    parts = _merge_ranges(shards)
+    found = parts.where("kind = 0").select("shard", "a")
+    layout = parts.where("kind = 2").select(F.col("shard").alias("of"), F.col("a").alias("offsets"), F.col("b").alias("owners"), F.col("c").alias("begins"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -326,6 +348,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
 
     placed = found.join(layout.hint("merge"), found.shard == layout.of).select("a", "offsets", "owners", "begins").mapInPandas(place, "row long, runs binary")
     placed = materialize(placed, "placed")
+    _release(parts)
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
