@@ -22,24 +22,29 @@ def query(name: str, sql: str | None = None):
 
 
 _docs = lambda s, d: table(s, d, "documents")
-_text = F.coalesce("text", F.lit(""))
+
+
+def _text():
+    return F.coalesce("text", F.lit(""))
+
+
 _WORDS = f"words as (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) pos from (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_RE}') ws from documents))"
 
 
 @query("t1_tokenize", with_(f"{_WORDS}, {expand_cte('words')}", "select doc_id, coalesce(string_agg(array_to_string(terms, ' '), ' ' order by pos) filter (len(terms) > 0), '') tokens from documents left join words using (doc_id) left join ex using (word) group by doc_id"))
 def t1(s, d):
-    return _docs(s, d).select("doc_id", F.array_join(T.tokenize(_text), " ").alias("tokens"))
+    return _docs(s, d).select("doc_id", F.array_join(T.tokenize(_text()), " ").alias("tokens"))
 
 
 @query("t2_expand_word", with_(f"{_WORDS}, {expand_cte('words')}", "select word, array_to_string(l, ' ') terms from ex"))
 def t2(s, d):
-    words = _docs(s, d).select(F.explode(T.raw_words(_text)).alias("word")).distinct()
+    words = _docs(s, d).select(F.explode(T.raw_words(_text())).alias("word")).distinct()
     return words.select("word", F.array_join(T.expand_word(F.col("word")), " ").alias("terms"))
 
 
 @query("t3_split_identifier", with_(_WORDS, f"select distinct word, array_to_string({parts_sql('word')}, ' ') parts from words"))
 def t3(s, d):
-    words = _docs(s, d).select(F.explode(T.raw_words(_text)).alias("word")).distinct()
+    words = _docs(s, d).select(F.explode(T.raw_words(_text())).alias("word")).distinct()
     return words.select("word", F.array_join(T.split_identifier(F.col("word")), " ").alias("parts"))
 
 
@@ -81,12 +86,12 @@ _NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 @query("t10_norm_ws", f"select doc_id, md5({_NORM}) h from documents")
 def t10(s, d):
-    return _docs(s, d).select("doc_id", F.md5(T.norm_ws(_text)).alias("h"))
+    return _docs(s, d).select("doc_id", F.md5(T.norm_ws(_text())).alias("h"))
 
 
 @query("t10_norm_verbatim", "select doc_id, md5(translate(regexp_replace(" + _NORM + r", '\s*([.,;:()\[\]{}])\s*', '\1', 'g'), '“”‘’«»', '""''''""')) h from documents")
 def t10v(s, d):
-    return _docs(s, d).select("doc_id", F.md5(T.norm_verbatim(_text)).alias("h"))
+    return _docs(s, d).select("doc_id", F.md5(T.norm_verbatim(_text())).alias("h"))
 
 
 # --- scans and sinks
@@ -133,7 +138,7 @@ def p6(s, d):
 
 
 def chunks(s, d):
-    c = _docs(s, d).select("doc_id", "source", F.posexplode(T.pack_paragraphs(_text)).alias("chunk_idx", "text"))
+    c = _docs(s, d).select("doc_id", "source", F.posexplode(T.pack_paragraphs(_text())).alias("chunk_idx", "text"))
     return c.withColumn("chunk_uid", T.chunk_uid(F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.col("chunk_idx")))
 
 
@@ -164,7 +169,7 @@ w as (select *, least(len(text), greatest(0, pos - 60) + 120) hi from c)
 select doc_id, trim(case when pos is null then text[:120] else substr(text, greatest(0, hi - 120) + 1, hi - greatest(0, hi - 120)) end, chr(32) || chr(10)) snippet, case when pos is null then len(text) > 120 else greatest(0, hi - 120) > 0 or hi < len(text) end truncated from w""")
 def p11(s, d):
     terms = F.array(*[F.lit(t) for t in ("zzzz", "worthless", "then", "que", "der")])
-    return _docs(s, d).select("doc_id", T.snippet(_text, terms, 120).alias("s")).select("doc_id", "s.snippet", "s.truncated")
+    return _docs(s, d).select("doc_id", T.snippet(_text(), terms, 120).alias("s")).select("doc_id", "s.snippet", "s.truncated")
 
 
 @query("p13_chunk_uid", "select doc_id, substr(sha1(source || '#' || doc_id), 1, 16) uid, md5(text) md5, substr(sha1(text), 1, 8) short from documents")
@@ -182,7 +187,7 @@ def f6(s, d):
 
 @query("f7_chunk_validation", "select doc_id, trim(text) <> '' as non_empty, len(text) <= 3200 as fits, array_to_string(string_split(text, ' ')[1:3], ' ') first_three from documents")
 def f7(s, d):
-    return _docs(s, d).select("doc_id", (T.strip(_text) != "").alias("non_empty"), (F.length("text") <= 3200).alias("fits"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("first_three"))
+    return _docs(s, d).select("doc_id", (T.strip(_text()) != "").alias("non_empty"), (F.length("text") <= 3200).alias("fits"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("first_three"))
 
 
 @query("f8_tiny_filter", "select doc_id from documents where len(trim(text)) >= 50")
@@ -245,7 +250,7 @@ def x12(s, d):
 
 @query("x14_soundex")
 def x14(s, d):
-    words = _docs(s, d).select(F.explode(T.raw_words(_text)).alias("word")).distinct()
+    words = _docs(s, d).select(F.explode(T.raw_words(_text())).alias("word")).distinct()
     return words.select("word", T.soundex(F.col("word")).alias("code"))
 
 
