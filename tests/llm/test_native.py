@@ -80,6 +80,24 @@ def test_license_notice_survives_a_dropped_word(spark):
     assert license_scan.scan(frame(spark, [text])).first().labels == "mit-notice"
 
 
+def test_license_labels_differ_by_version_and_qualifier(spark):
+    want = {
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "Licensed under CC BY 4.0, nc 3": "cc-by,cc-by-4.0",
+        "Licensed under CC BY-ND 4.0": "cc-by",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "This work is licensed under the GNU General Public License, version 1.": "gpl",
+        "licensed under the GNU Lesser General Public License version 3": "lgpl",
+        "Licensed under the Apache License, Version 2": "apache,apache-2.0",
+        "Licensed under the Apache License, Version 2.1": "apache",
+        # All pairs of a notice, but in the wrong order.
+        "copy modify and x permission to use y to use copy z or distribute this software": "",
+        "universal 1 0 universal cc0 1 0 under cc0 1 domain under cc0 public domain under the public domain to the public dedicated to the": "",
+    }
+    got = {r.doc_id: r.labels for r in license_scan.scan(frame(spark, list(want))).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 # --- decontamination
 
 
