@@ -8,6 +8,10 @@ correspond to one value of the document, and the other way round. A verbatim cop
 passes trivially, a re-parameterised question does if its slots are consistent,
 and chance matches of templates do not.
 
+Names are told by their capital, which a copy in other letters or with other
+punctuation may lack. So windows are joined in a second form too, in which names
+stand for themselves as lowered words; a window counts if either form matches.
+
 Defined cases: a null text counts as empty; items with fewer words than a window
 can't be told from ordinary prose and never match (WINDOW is a parameter); items
 with equal texts are matched alike; repeated rows are judged one by one; an empty
@@ -31,9 +35,11 @@ BROADCAST_ROWS = 200_000
 _BITS = 1 << 18
 
 
-def _slots(text: Column) -> Column:
-    """The lowered words, names marked, aligned with the template's words."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[a-z0-9,;] )(?=\p{Lu}\p{Ll})", _MARK)
+def _slots(text: Column, names: bool = True) -> Column:
+    """The lowered words, names marked if wanted, aligned with the template's words."""
+    marked = F.coalesce(text, F.lit(""))
+    if names:
+        marked = F.regexp_replace(marked, r"([a-z0-9,;]\s++)(?=\p{Lu}\p{Ll})", f"$1{_MARK}")
     return F.filter(F.split(F.lower(marked), GAP), lambda w: w != "")
 
 
@@ -47,19 +53,24 @@ def _kind(w: Column) -> Column:
 
 
 def _hashed(df: DataFrame, k: int) -> DataFrame:
-    """Adds w (words) and g (window hashes, one for each start)."""
-    df = df.withColumn("w", _slots(F.col("text")))
-    df = df.withColumn("h1", F.transform("w", lambda x: F.xxhash64(F.coalesce(_kind(x), x))))
-    n, cur = 1, "h1"
+    """Adds words and window hashes, one for each start, in both forms: w, g and v, p."""
+    df = df.withColumn("w", _slots(F.col("text"))).withColumn("v", _slots(F.col("text"), names=False))
+    return _rolled(_rolled(df, "w", "g", k), "v", "p", k)
+
+
+def _rolled(df: DataFrame, words: str, out: str, k: int) -> DataFrame:
+    """Adds the window hashes of an array of words."""
+    df = df.withColumn(f"{out}h1", F.transform(words, lambda x: F.xxhash64(F.coalesce(_kind(x), x))))
+    n, cur = 1, f"{out}h1"
     while n * 2 <= k:
-        df = df.withColumn(f"h{n * 2}", _joined(cur, cur, n))
-        n, cur = n * 2, f"h{n * 2}"
+        df = df.withColumn(f"{out}h{n * 2}", _joined(cur, cur, n))
+        n, cur = n * 2, f"{out}h{n * 2}"
     have = n
     while have < k:  # fill up with the largest power of two that fits
         p = 1 << ((k - have).bit_length() - 1)
-        df = df.withColumn(f"g{have + p}", _joined(cur, f"h{p}", have))
-        have, cur = have + p, f"g{have + p}"
-    return df.withColumn("g", F.col(cur))
+        df = df.withColumn(f"{out}g{have + p}", _joined(cur, f"{out}h{p}", have))
+        have, cur = have + p, f"{out}g{have + p}"
+    return df.withColumn(out, F.col(cur))
 
 
 def _joined(a: str, b: str, n: int) -> Column:
@@ -102,20 +113,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, coverage: fl
 
     key is a digest of the text, by which equal texts can be found again.
     """
-    items = materialize(_hashed(benchmark.select("item_id", "text"), k).select("item_id", "w", "g"), "items")
-    windows = materialize(items.select("item_id", "w", F.size("g").alias("n_windows"), F.posexplode("g").alias("ipos", "g")), "windows")
+    items = materialize(_hashed(benchmark.select("item_id", "text"), k).select("item_id", "w", "g", "v", "p"), "items")
+    of = lambda form, w, g: items.select("item_id", F.lit(form).alias("form"), F.col(w).alias("w"), F.size(g).alias("n_windows"), F.posexplode(g).alias("ipos", "g"))
+    windows = materialize(of(1, "w", "g").unionByName(of(2, "v", "p")), "windows")
     bits = _table(windows)
-    near = F.filter(F.transform("g", lambda g, i: F.struct(i.alias("pos"), g.alias("g"))), lambda x: _probe(x.g, bits))
+
+    def near(form: int, w: str, g: str) -> Column:
+        found = F.filter(F.transform(g, lambda h, i: F.struct(i.alias("pos"), h.alias("g"))), lambda x: _probe(x.g, bits))
+        return F.transform(found, lambda x: F.struct(F.lit(form).alias("form"), x.pos.alias("pos"), x.g.alias("g"), F.slice(F.col(w), x.pos + 1, k).alias("words")))
+
     rows = _hashed(docs.select("doc_id", "text"), k).select(
         "doc_id",
         F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"),
-        F.transform(near, lambda x: F.struct(x.pos.alias("pos"), x.g.alias("g"), F.slice(F.col("w"), x.pos + 1, k).alias("words"))).alias("near"),
+        F.concat(near(1, "w", "g"), near(2, "v", "p")).alias("near"),
     )
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "near")
-    side = windows.select("item_id", "g", "ipos", "n_windows", F.slice("w", F.col("ipos") + 1, k).alias("iwords"))
+    side = windows.select("item_id", "form", "g", "ipos", "n_windows", F.slice("w", F.col("ipos") + 1, k).alias("iwords"))
     if windows.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    hits = rows.where(F.size("near") > 0).select("row", F.inline("near")).join(side, "g")
+    hits = rows.where(F.size("near") > 0).select("row", F.inline("near")).join(side, ["form", "g"])
     # Exact check of the templates, as hashes may collide.
     same = F.forall(F.zip_with("words", "iwords", lambda a, b: F.coalesce(_kind(a), a) == F.coalesce(_kind(b), b)), lambda x: x)
     hits = hits.where(same).withColumn("diag", F.col("pos") - F.col("ipos"))
@@ -125,7 +141,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, coverage: fl
         lambda s: s.kind.isNotNull(),
     )
     places = (
-        hits.groupBy("row", "item_id", "n_windows", "diag")
+        hits.groupBy("row", "item_id", "n_windows", "form", "diag")
         .agg(F.collect_set("ipos").alias("found"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
     )
     one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s.kind, s.item)))) == F.size("slots")) & (

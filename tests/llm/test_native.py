@@ -124,6 +124,23 @@ def test_decontamination_finds_copies_and_other_numbers(spark):
     assert decontam.decontaminate(odd(spark), bench).count() == 8
 
 
+def test_decontamination_finds_copies_whose_names_look_otherwise(spark):
+    text = "In which year did the river near Paris flood the old town of Lyon for 12 days"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = [
+        text.lower(),
+        text.upper(),
+        text.replace("near ", "near\n").replace("of ", "of  "),
+        text.replace("Paris", "(Paris)").replace("Lyon", '"Lyon"'),
+        text.lower().replace("12", "15"),
+        text.replace("near Paris", "near\nRome").replace("Lyon", "Ostia"),
+        text.replace("Paris", "Rome").replace("Lyon", "Rome"),
+        text.lower().replace("paris", "the harbour").replace("lyon", "wood"),
+    ]
+    got = {r.doc_id: r.contaminated for r in decontam.report(frame(spark, docs), bench).collect()}
+    assert [got[i] for i in range(8)] == [True] * 6 + [False] * 2
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     bench, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("benchmark", "documents"))
     items = {r.item_id: WORD.findall(r.text.lower()) for r in bench.collect()}
