@@ -5,8 +5,9 @@ cards and phone numbers. The words around each entity are then weighed over the
 whole corpus: a term's disclosure of an entity is the share of the term's
 documents in which that entity stands near it, and its pointwise mutual
 information with the entity. Terms over both thresholds would give the entity
-away even when it is masked, so they are sanitised too: generalised to their
-shape, or removed.
+away even when it is masked, so they are sanitised too, wherever they stand in any
+text of the corpus: generalised to their shape, or removed. Terms of fewer than
+LENGTH characters are not weighed.
 
 Defined cases: a null text counts as empty; positions are code points, ends
 exclusive; patterns match leftmost without overlap for each kind, and a match
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import GAP, ascii_lower, materialize
+from palimpsest.llm.common import ascii_lower, materialize
+from palimpsest.llm.decontam import _probe, _table
 
 # The patterns. Possessive repeats and the look-behinds change no match: they only
 # keep long runs of one class from being tried again from each of their characters.
@@ -36,6 +38,8 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 REACH, SIDE = 6, 120
 #: A term is sanitised if its disclosure is at least so much, at so many documents.
 DISCLOSURE, PMI, SUPPORT = 0.5, 3.0, 2
+#: Least characters of a term that is weighed.
+LENGTH = 4
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,7 +90,7 @@ def _spans(text: Column, kind: str) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """row, doc_id and base: the valid matches of all kinds with their context."""
+    """row, doc_id, text and base: the valid matches of all kinds with their context."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.array_sort(F.concat(*[_spans(F.col("text"), k) for k in KINDS])).alias("base"))
     near = lambda s: F.struct(
@@ -94,14 +98,14 @@ def entities(docs: DataFrame) -> DataFrame:
         F.substring("text", F.greatest(s.start - SIDE, F.lit(0)) + 1, F.least(s.start, F.lit(SIDE))).alias("before"),
         F.substring("text", s.end + 1, F.lit(SIDE)).alias("after"),
     )
-    return found.select("doc_id", F.transform("base", near).alias("base")).withColumn("row", F.monotonically_increasing_id())
+    return found.select("doc_id", "text", F.transform("base", near).alias("base")).withColumn("row", F.monotonically_increasing_id())
 
 
 _LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"  # of a term: an ASCII letter or any other character
 _TERM = rf"{_LETTER}+"
 
 
-def _terms(side: Column, base: Column, before: bool) -> Column:
+def _terms(side: Column, base: Column, before: bool, length: int = LENGTH) -> Column:
     """The words of a context with their places; a word cut by its edge is left out."""
     gaps = F.transform(F.split(side, _TERM, -1), lambda x: F.length(x))
     value = F.regexp_extract_all(side, F.lit(_TERM), F.lit(0))
@@ -115,18 +119,41 @@ def _terms(side: Column, base: Column, before: bool) -> Column:
         lambda acc: acc.out,
     )
     n = F.length(side)
-    whole = F.filter(folded, lambda t: (F.length(t.term) >= 4) & ((t.start > 0) | F.lit(not before) | (n < SIDE)) & ((t.end < n) | F.lit(before) | (n < SIDE)))
+    whole = F.filter(folded, lambda t: (F.length(t.term) >= length) & ((t.start > 0) | F.lit(not before) | (n < SIDE)) & ((t.end < n) | F.lit(before) | (n < SIDE)))
     reach = F.slice(whole, F.greatest(F.size(whole) - REACH + 1, F.lit(1)), REACH) if before else F.slice(whole, 1, REACH)
     shift = base.start - n if before else base.end
     return F.transform(reach, lambda t: F.struct((t.start + shift).alias("start"), (t.end + shift).alias("end"), t.term.alias("term")))
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, pmi: float = PMI, support: int = SUPPORT) -> DataFrame:
+def _everywhere(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, start, end, term: all places of the terms in the texts.
+
+    A word that runs into an entity is left out: masking it would cut the entity.
+    """
+    bits = _table(terms.select(F.xxhash64("term").alias("g")))
+    word = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))
+    maybe = F.filter(F.transform(word, lambda x, i: F.struct(i.alias("i"), ascii_lower(x).alias("term"))), lambda x: _probe(F.xxhash64(x.term), bits))
+    base = F.transform("base", lambda b: b.start)
+    held = materialize(rows.select("row", "text", base.alias("starts"), maybe.alias("maybe")).where(F.size("maybe") > 0), "holders")
+    # A word starts after the words before it and the gaps up to it.
+    total = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda acc, y: acc + y)
+    sizes = held.select(
+        "row", "starts", "maybe",
+        F.transform(word, lambda x: F.length(x)).alias("words"),
+        F.transform(F.split("text", _TERM, -1), lambda x: F.length(x)).alias("gaps"),
+    )
+    start = F.transform("maybe", lambda x: F.struct((total(F.col("words"), x.i) + total(F.col("gaps"), x.i + 1)).alias("start"), x.term.alias("term")))
+    found = sizes.select("row", "starts", F.inline(start)).withColumn("end", F.col("start") + F.length("term"))
+    cuts = F.exists("starts", lambda b: (b > F.col("start")) & (b < F.col("end")))
+    return found.where(~cuts).select("row", "start", "end", "term").join(terms, "term", "left_semi").select("row", "start", "end", "term")
+
+
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, pmi: float = PMI, support: int = SUPPORT, length: int = LENGTH) -> DataFrame:
     """row, doc_id, base and terms (spans of words that give an entity away)."""
     rows = materialize(entities(docs), "entities")
     near = rows.where(F.size("base") > 0).select("row", F.explode("base").alias("b")).select(
         "row", "b.rank", "b.value",
-        F.inline(F.concat(_terms(F.col("b.before"), F.col("b"), True), _terms(F.col("b.after"), F.col("b"), False))),
+        F.inline(F.concat(_terms(F.col("b.before"), F.col("b"), True, length), _terms(F.col("b.after"), F.col("b"), False, length))),
     )
     near = materialize(near, "contexts")
     # Documents in which a term stands near an entity, and in which the entity is.
@@ -136,7 +163,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, pmi: float = PMI,
     # Document counts of all terms of the corpus, combined before the shuffle. No
     # semi-join here: it would go below the aggregate and shuffle every occurrence.
     bag = F.array_distinct(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))
-    counts = docs.select(F.explode(bag).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counts = rows.select(F.explode(bag).alias("term")).where(F.length("term") >= length).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = F.lit(max(1, rows.count()))
     weighed = (
         pairs.join(counts, "term")
@@ -145,8 +172,10 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, pmi: float = PMI,
         .withColumn("pmi", F.log2(F.col("n_pair") * total / (F.greatest("n_term", "n_pair") * F.col("n_entity"))))
     )
     telling = materialize(weighed.where((F.col("disclosure") >= disclosure) & (F.col("pmi") >= pmi)).select("rank", "value", "term"), "telling")
-    terms = near.join(telling, ["rank", "value", "term"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "term"))).alias("terms"))
-    return rows.join(terms, "row", "left")
+    beside = near.join(telling, ["rank", "value", "term"], "left_semi").select("row", "start", "end", "term")
+    places = beside.unionByName(_everywhere(rows, telling.select("term").distinct()))
+    terms = places.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "term"))).alias("terms"))
+    return rows.drop("text").join(terms, "row", "left")
 
 
 def _key(parts: Column) -> Column:
@@ -154,9 +183,9 @@ def _key(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s: F.concat_ws(":", F.get(kind, s.rank), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Counts and spans for each document."""
-    rows = sanitise(docs)
+    rows = sanitise(docs, length=length)
     plain = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.rank.alias("rank"), s.end.alias("end")))
     extra = F.transform(F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,end:int,term:string>>)")), lambda t: F.struct(t.start.alias("start"), F.lit(len(KINDS)).alias("rank"), t.end.alias("end")))
     count = lambda i: F.size(F.filter("base", lambda s: s.rank == i)).cast("long").alias(f"n_{KINDS[i]}")

@@ -207,6 +207,24 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert rows[5].spans == ""
 
 
+def test_pii_terms_are_marked_wherever_they_stand(spark):
+    far = " ".join(["and so on it went about pipes"] * 20)
+    texts = [f"Zarquon's day\n{far} zarquon writes from joe@x.org about pipes {far} éZarquon ZARQUON"] * 3
+    texts += ["ümlaut: Zarquon was here"] + [f"the plumber was here and writes from there about pipes {i}" for i in range(60)]
+    rows = {r.doc_id: r for r in pii.report(frame(spark, texts)).collect()}
+    for i in (0, 2, 3):
+        spans = [p.split(":") for p in rows[i].spans.split(",")]
+        said = [int(a) for k, a, b in spans if k == "term" and texts[i][int(a) : int(b)].lower() == "zarquon"]
+        assert said == [m.start() for m in re.finditer("(?<!é)zarquon", texts[i].lower())]
+    assert rows[9].spans == ""
+
+
+def test_pii_weighs_shorter_terms_if_told(spark):
+    texts = ["Ann: joe@x.org about pipes"] * 3 + [f"about pipes {i}" for i in range(60)]
+    marked = lambda **p: "term:0:3" in pii.report(frame(spark, texts), **p).where("doc_id = 0").first().spans
+    assert not marked() and marked(length=3)
+
+
 # --- mixing
 
 
