@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -540,7 +542,12 @@ def x17(s, d):
 
 @query("x19_simhash_lsh")
 def x19(s, d):
-    h = table(s, d, "documents").where("n_chars < 1500").select("doc_id", T.simhash(F.split("text", r"\s+")).alias("h"))
+    # T.simhash() of whole texts, its votes counted by aggregates; a null text counts as empty.
+    rows = table(s, d, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    tokens = rows.select("row", "doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"\s+"))).alias("t")).select("row", "doc_id", F.xxhash64("t").alias("x"))
+    votes = tokens.groupBy("row", "doc_id").agg(*[F.sum(F.getbit("x", F.lit(i)) * 2 - 1).alias(f"b{i}") for i in range(64)])
+    bits = [F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    h = votes.select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("h"))
     # Of four 16-bit bands, one agrees if at most three bits differ.
     keys = h.select("doc_id", "h", F.posexplode(F.array(*[F.shiftrightunsigned("h", 16 * i).bitwiseAND(0xFFFF) for i in range(4)])).alias("band", "v"))
     a = keys.withColumnsRenamed({"doc_id": "a_id", "h": "x"})

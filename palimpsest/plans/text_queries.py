@@ -283,5 +283,5 @@ def x18(s, d):
 
 @query("x20_minhash")
 def x20(s, d):
-    sig = T.minhash(T.char_ngrams(F.substring("text", 1, 60), 3), 16)
+    sig = T.minhash(T.char_ngrams(F.col("text"), 3))
     return table(s, d, "benchmark").select("item_id", F.array_join(F.transform(sig, lambda x: x.cast("string")), ",").alias("sig"))
