@@ -96,7 +96,7 @@ def t7(s, d):
 
 
 def _stored(s, d):
-    c = chunks(s, d).where("doc_id < 200")
+    c = chunks(s, d)
     none = F.array().cast("array<string>")
     chunk = F.struct("chunk_uid", none.alias("heading_path"), "text", F.lit("").alias("summary"), none.alias("keywords"), none.alias("synonyms"), F.array().cast("array<struct<q:string,a:string>>").alias("qa"))
     pages = c.groupBy(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source")).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", chunk.alias("c")))), lambda x: x.c).alias("chunks"))

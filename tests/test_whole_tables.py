@@ -32,3 +32,10 @@ def test_simhash_pairs_include_long_texts(spark, small):
 def test_minhash_signs_whole_passages(spark, small):
     sig = {r.item_id: r.sig.split(",") for r in catalog.queries()["x20_minhash"](spark, small).collect()}
     assert len(sig[1]) == len(sig[2]) == 128 and sig[1] != sig[2]
+
+
+def test_sparse_cosine_and_stores_cover_all_documents(spark, small):
+    run = lambda name: catalog.queries()[name](spark, small)
+    assert {r.doc_id for r in run("x13_sparse_cosine").collect()} == set(range(229))
+    pages = {r.source for r in run("s5_corpus_store").collect()}
+    assert len(pages) == 230 and {r.source for r in run("s6_corpus_chunks").collect()} == pages
