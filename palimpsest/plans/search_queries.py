@@ -502,7 +502,7 @@ def x7(s, d):
 
 
 def _vocabulary(s, d):
-    return doc_index(s, d).terms.where("df <= 3").select("term")
+    return doc_index(s, d).terms.select("term")
 
 
 @query("x1_osa")

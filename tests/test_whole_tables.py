@@ -39,3 +39,12 @@ def test_sparse_cosine_and_stores_cover_all_documents(spark, small):
     assert {r.doc_id for r in run("x13_sparse_cosine").collect()} == set(range(229))
     pages = {r.source for r in run("s5_corpus_store").collect()}
     assert len(pages) == 230 and {r.source for r in run("s6_corpus_chunks").collect()} == pages
+
+
+def test_term_functions_see_frequent_terms(spark, small):
+    from palimpsest.plans.base import doc_index
+
+    terms = {r.term: r.df for r in doc_index(spark, small).terms.collect()}
+    assert terms["shelf3"] > 3
+    for name in ("x1_osa", "x8_jaro_winkler", "x15_metaphone", "x16_porter"):
+        assert {r.term for r in catalog.queries()[name](spark, small).collect()} == set(terms)
