@@ -11,10 +11,18 @@ THRESHOLD or more are linked. Classes are the connected components.
 
 To spare large groups all their pairs, each bucket first aligns its members with
 one leader, the one with the most company in all buckets. Members that ended up
-in the leader's class need no more. Across classes, pairs of a bucket follow; but a
-text can only be linked to one of another class if THRESHOLD of its k-mers occur in
-other classes. Texts that merely share a passage have too many k-mers of their own,
-and are left out before pairs are made.
+in the leader's class need no more. Across classes, pairs are found by how the
+members differ from their leader. With d the number of k-mers by which a text
+differs from the leader, two texts differ by d1 + d2 - 2 o, where o is how many of
+these differences they share; alike texts differ by a ninth of their k-mers at most
+(for a threshold of 0.8), so that o has a lower bound. If neither shares a
+difference with the other, the one that is too far from the leader is too far from
+the other, too. So texts are joined by differences, rarest first, and only as many of
+them as the bound asks for; pairs that can't reach the bound even with all later
+differences are left out by the join. Thus rows grow with the texts and not with the
+pairs of a bucket, and no link is lost. Only texts near the leader in k-mers but not
+in their order are paired directly. Texts of which too few k-mers occur in other
+classes are left out before that.
 
 Defined cases: texts with the same words (ASCII case and punctuation aside) are
 one class and are collapsed before anything else; a text of fewer than WORDS words
@@ -25,6 +33,7 @@ gives an empty result; extra columns are ignored or pass through.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -37,8 +46,9 @@ from palimpsest.llm import vec
 from palimpsest.llm.common import discard, free_name, materialize
 
 WORDS, THRESHOLD = 5, 0.8
-#: At similarity 0.8 a sketch agrees with probability 0.8 ** LENGTH, so that one
-#: pair in ten million is missed.
+#: At similarity 0.8 a sketch agrees with probability 0.8 ** LENGTH, so that of long
+#: texts one pair in ten million is missed; of very short ones more: 4 k-mers and the
+#: same with a fifth agree with probability 0.2, so that one pair in 1300 is missed.
 SKETCHES, LENGTH = 32, 4
 #: K-mers expected below a text's threshold, of which the LENGTH smallest are taken.
 _EXPECT = 24
@@ -118,33 +128,33 @@ def sketches(h: np.ndarray, o: np.ndarray, n_texts: int) -> np.ndarray:
     return out
 
 
-def _wkeys(hashes: np.ndarray, own: np.ndarray, n_texts: int) -> list[bytes]:
-    """A 128-bit key of each text's words in order."""
-    n = np.bincount(own, minlength=n_texts).astype(np.int64)
-    ends = np.cumsum(n)
-    begins = ends - n
-    a = vec.span_hash_of(hashes, begins, ends)
-    b = vec.span_hash_of(vec.mix(hashes + np.uint64(0xABCDEF)), begins, ends)
-    a ^= vec.mix(n.astype(np.uint64))
-    return [x.tobytes() + y.tobytes() for x, y in zip(a, b, strict=True)]
+def _wkeys(block: vec.Block) -> list[bytes]:
+    """A digest of each text's words, joined by blanks."""
+    word = vec.IS_WORD[block.low]
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # a blank after each word
+    plain = np.where(word, block.low, np.uint8(32))[keep].tobytes()
+    place = np.concatenate([[0], np.cumsum(keep)])
+    return [hashlib.md5(plain[x:y].rstrip(b" ")).digest() for x, y in zip(place[block.starts].tolist(), place[block.ends].tolist(), strict=True)]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey (digest of the text), wkey, n (k-mers) and sketches of each row."""
+def _signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for column in batches:
+        parts = []
+        for _, texts in vec.blocks(column):
+            block = vec.Block(texts)
+            hashes, own = vec.word_hashes(block)
+            h, o = kmers(hashes, own, block.n)
+            keys = sketches(h, o, block.n).view(np.int64)
+            parts.append(pd.DataFrame({"wkey": _wkeys(block), "n": np.bincount(o, minlength=block.n), "keys": list(keys)}))
+        yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"wkey": [], "n": [], "keys": []})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for first, texts in vec.blocks(pdf["text"]):
-                block = vec.Block(texts)
-                hashes, own = vec.word_hashes(block)
-                h, o = kmers(hashes, own, block.n)
-                keys = sketches(h, o, block.n).view(np.int64)
-                part = pdf.iloc[first : first + len(texts)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "tkey": part["tkey"].array, "wkey": _wkeys(hashes, own, block.n), "n": np.bincount(o, minlength=block.n), "keys": list(keys)})
 
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey (digest of the text), wkey, n (k-mers) and sketches of each row."""
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", "text", F.unhex(F.md5(text.cast("binary"))).alias("tkey"))
-    return materialize(slim.mapInPandas(run, "doc_id long, tkey binary, wkey binary, n long, keys array<long>"), "sketches")
+    slim = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("tkey"), F.pandas_udf(_signature, "wkey binary, n long, keys array<long>")("text").alias("s"))
+    return materialize(slim.select("doc_id", "tkey", "s.wkey", "s.n", "s.keys"), "sketches")
 
 
 def align(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -206,7 +216,7 @@ def _dense(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wkey and seq (32 bits of each k-mer's hash) of the wanted rows (doc_id, wkey)."""
+    """wkey and seq (32 bits of each k-mer's hash) of the wanted texts (doc_id, tkey, wkey)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,13 +226,12 @@ def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, o = kmers(hashes, own, block.n)
                 small = (h >> np.uint64(32)).astype(np.uint32)
                 cut = np.searchsorted(o, np.arange(block.n + 1))
-                wkeys = _wkeys(hashes, own, block.n)
-                want = pdf["wkey"].iloc[first : first + len(texts)]
-                keep = [i for i, w in enumerate(want) if bytes(w) == wkeys[i]]
-                yield pd.DataFrame({"wkey": [wkeys[i] for i in keep], "seq": [small[cut[i] : cut[i + 1]].view(np.int32) for i in keep]})
+                yield pd.DataFrame({"wkey": pdf["wkey"].iloc[first : first + len(texts)].array, "seq": [small[cut[i] : cut[i + 1]].view(np.int32) for i in range(block.n)]})
 
-    ids = wanted.select(F.col("doc_id").alias("w_id"), "wkey")
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "wkey")
+    ids = wanted.select(F.col("doc_id").alias("w_id"), F.col("tkey").alias("w_key"), "wkey")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tkey"))
+    rows = keyed.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tkey") == F.col("w_key"))).select("text", "wkey")
     return rows.mapInPandas(run, "wkey binary, seq array<int>").dropDuplicates(["wkey"])
 
 
@@ -259,11 +268,11 @@ def components(links: DataFrame) -> DataFrame:
         label = nxt
 
 
-def _mixed(member: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several classes."""
+def _mixed(member: DataFrame, by: str) -> DataFrame:
+    """The rows of buckets or groups that hold several classes."""
     c = F.xxhash64("comp")
-    keys = member.groupBy("key").agg(F.min(c).alias("x"), F.max(c).alias("y")).where("x < y").select("key")
-    return materialize(member.join(materialize(keys, "mixed").hint("merge"), "key", "left_semi"), "members")
+    keys = member.groupBy(by).agg(F.min(c).alias("x"), F.max(c).alias("y")).where("x < y").select(by)
+    return materialize(member.join(materialize(keys, "mixed").hint("merge"), by, "left_semi"), "members")
 
 
 def _crossing(member: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -280,11 +289,70 @@ def _crossing(member: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame
     return materialize(shared.where(F.col("c") >= threshold * F.col("n") - 1e-6).select("wkey"), "able")
 
 
+def differences(seq: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """64-bit values of the k-mers, with their occurrence, that only one of the two has."""
+    both = [x.astype(np.int64).view(np.uint64) for x in (seq, leader)]
+    a, b = (vec.mix(x + vec.mix(occurrences(x, np.zeros(len(x), np.int64)) + np.uint64(1))) for x in both)
+    return np.setxor1d(a, b, assume_unique=True).view(np.int64)
+
+
+def _differing(groups: DataFrame, seqs: DataFrame) -> DataFrame:
+    """groups with m (the leader's k-mers), d (the number of differences) and diff (the differences)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            diff = [differences(np.asarray(x, np.int32), np.asarray(y, np.int32)) for x, y in zip(pdf["seq"], pdf["lead"], strict=True)]
+            out = pdf.drop(columns=["seq", "lead"])
+            out["m"], out["d"], out["diff"] = pdf["lead"].map(len), [len(x) for x in diff], diff
+            yield out
+
+    lead = seqs.select(F.col("wkey").alias("leader"), F.col("seq").alias("lead"))
+    joined = groups.join(seqs.hint("merge"), "wkey").join(lead.hint("merge"), "leader").select("leader", "wkey", "comp", "n", "seq", "lead")
+    return materialize(joined.mapInPandas(run, "leader binary, wkey binary, comp binary, n long, m long, d long, diff array<long>"), "differing")
+
+
+def _across(member: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts of one leader but of two classes that can be alike.
+
+    member: leader, wkey, comp, n. Alike texts of n1 and n2 k-mers differ by
+    slack * (n1 + n2) of them at most.
+    """
+    slack = (1 - threshold) / (1 + threshold)
+    groups = _differing(_mixed(member.select("leader", "wkey", "comp", "n").distinct(), "leader"), seqs)
+    groups = materialize(groups.withColumn("far", F.col("d") > slack * (F.col("n") + F.col("m")) + 1e-6), "groups")
+    each = groups.select("leader", "wkey", "comp", "n", "m", "d", "far", F.explode("diff").alias("token"))
+    often = each.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    held = each.join(materialize(often, "often").hint("merge"), ["leader", "token"])
+    # Differences in order of how rare they are; those of one text alone come first.
+    ranked = held.groupBy("leader", "wkey", "comp", "n", "m", "d", "far").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
+    # Differences that a partner must share at least. A partner with o of them has m + o
+    # k-mers at most, from which the bound of a far text follows; a near one's holds for far partners.
+    least_far = (F.col("d") - slack * (F.col("n") + F.col("m"))) / (1 + slack)
+    least_near = (F.col("d") + slack * (F.col("m") - F.col("n"))) / 2
+    need = F.greatest(F.lit(1), F.ceil(F.when(F.col("far"), least_far).otherwise(least_near) - 1e-6))
+    ranked = ranked.withColumn("left", F.size("t")).withColumn("t", F.slice("t", F.lit(1), F.greatest(F.lit(0), F.col("left") - need + 1).cast("int")))
+    rows = ranked.select("leader", "wkey", "comp", "n", "far", "d", "left", F.posexplode("t").alias("at", "t"))
+    rows = rows.select("leader", "wkey", "comp", "n", "far", "d", F.col("t.token").alias("token"), (F.col("left") - F.col("at")).alias("left"))
+    rows = materialize(rows, "prefixes")
+    u, w = rows.where("far").alias("u"), rows.alias("w").hint("merge")
+    apart = (F.col("u.comp") != F.col("w.comp")) & (F.least("u.n", "w.n") >= (threshold - 1e-9) * F.greatest("u.n", "w.n"))
+    bound = 2 * F.least("u.left", "w.left") >= F.col("u.d") + F.col("w.d") - slack * (F.col("u.n") + F.col("w.n")) - 1e-6
+    once = ~F.col("w.far") | (F.col("u.wkey") < F.col("w.wkey"))
+    same = (F.col("u.leader") == F.col("w.leader")) & (F.col("u.token") == F.col("w.token"))
+    by_token = u.join(w, same & apart & bound & once)
+    # Near the leader in k-mers, but in another class: the order differs.
+    near = groups.where("not far").select("leader", "wkey", "comp", "n")
+    near = _mixed(near, "leader")
+    directly = near.alias("u").join(near.alias("w").hint("merge"), (F.col("u.leader") == F.col("w.leader")) & apart & (F.col("u.wkey") < F.col("w.wkey")))
+    both = by_token.select("u.wkey", F.col("w.wkey").alias("other")).union(directly.select("u.wkey", F.col("w.wkey").alias("other")))
+    return both.select(F.least("wkey", "other").alias("a"), F.greatest("wkey", "other").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, reps, links): rows as signatures(), reps (wkey, comp, class_id, n_links), links."""
     rows = signatures(docs)
     texts = materialize(
-        rows.groupBy("wkey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts"
+        rows.groupBy("wkey").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tkey")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("wkey", "row.doc_id", "row.tkey", "n", "keys"), "texts"
     )
     held = texts.where(F.col("n") > 0).select("wkey", "n", F.explode("keys").alias("key"))
     sized = held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -301,25 +369,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     star = star.join(sizes.withColumnsRenamed({"wkey": "a", "n": "na"}).hint("merge"), "a").where(F.least("n", "na") >= low * F.greatest("n", "na"))
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = materialize(star, "star")
-    wanted = buckets.select("wkey").distinct().join(texts.select("wkey", "doc_id").hint("merge"), "wkey")
+    wanted = buckets.select("wkey").distinct().join(texts.select("wkey", "doc_id", "tkey").hint("merge"), "wkey")
     seqs = materialize(_sequences(docs, wanted), "sequences")
     first = _verified(star, seqs, threshold)
     comp = components(first)
     # Buckets whose members are of several classes still.
-    labelled = buckets.select("key", "wkey", "n").join(comp.hint("merge"), "wkey", "left").select("key", "wkey", "n", F.coalesce("comp", "wkey").alias("comp"))
-    member = _mixed(materialize(labelled, "labelled"))
-    member = _mixed(materialize(member.join(_crossing(member, seqs, threshold).hint("merge"), "wkey", "left_semi"), "crossing"))
-    # Each member outside its bucket's largest class against all of other classes.
-    sizes_of = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"))
-    minor = member.join(materialize(sizes_of.select("key", F.col("m.comp").alias("major")), "major").hint("merge"), "key").where(F.col("comp") != F.col("major"))
-    other = member.select("key", F.col("wkey").alias("w"), F.col("n").alias("nw"), F.col("comp").alias("cw"))
-    cross = (
-        minor.join(other.hint("merge"), "key")
-        .where((F.col("comp") != F.col("cw")) & (F.least("n", "nw") >= low * F.greatest("n", "nw")))
-        .select(F.least("wkey", "w").alias("a"), F.greatest("wkey", "w").alias("b"))
-        .distinct()
-    )
-    cross = materialize(cross.join(star.hint("merge"), ["a", "b"], "left_anti"), "cross")
+    labelled = buckets.join(comp.hint("merge"), "wkey", "left").select("key", "leader", "wkey", "n", F.coalesce("comp", "wkey").alias("comp"))
+    member = _mixed(materialize(labelled, "labelled"), "key")
+    member = _mixed(materialize(member.join(_crossing(member, seqs, threshold).hint("merge"), "wkey", "left_semi"), "crossing"), "key")
+    cross = materialize(_across(member, seqs, threshold).join(star.hint("merge"), ["a", "b"], "left_anti"), "cross")
     second = _verified(cross, seqs, threshold)
     links = first.unionByName(second)
     if not second.isEmpty():
