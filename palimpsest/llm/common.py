@@ -45,13 +45,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized frame that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/palimpsest/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete(df.sparkSession, folder)
+
+
+def _path(spark: SparkSession, name: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    """Delete a folder of any store that Spark reads."""
+    path, store = _path(spark, name)
+    store.delete(path, True)
+
+
+def files_exist(spark: SparkSession, name: str) -> bool:
+    path, store = _path(spark, name)
+    return store.exists(path)
 
 
 def ascii_lower(text: Column) -> Column:
