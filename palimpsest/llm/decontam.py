@@ -1,19 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, so that a question with other
-numbers keeps its template. Rolling windows of template words are hash-joined to
-those of the benchmark. Where a document matches enough of an item's windows, the
-values in the placeholders are checked: one value of the item must always
-correspond to one value of the document, and the other way round. A verbatim copy
-passes trivially, a re-parameterised question does if its slots are consistent,
-and chance matches of templates do not.
+Numbers (with their decimals), names (of one or several words) and units after a
+number become typed placeholders, so that a question with other numbers keeps its
+template. Rolling windows of template words are hash-joined to those of the
+benchmark; windows of placeholders alone are left out, as any run of numbers would
+match them. Hits of an item are gathered by diagonal (place in the text less place in
+the item); diagonals near each other belong to one place. There the values in the
+placeholders are checked: one value of the item must always correspond to one value
+of the document, and the other way round. Diagonals are added to a place, the
+largest first, as long as all its slots stay consistent. A verbatim copy passes
+trivially, a re-parameterised question does if its slots are consistent, and chance
+matches of templates, scattered or not, do not.
 
 Names are told by their capital, which a copy in other letters or with other
 punctuation may lack. So windows are joined in a second form too, in which names
-stand for themselves as lowered words; a window counts if either form matches.
+stand for themselves as lowered words; the form that covers more of the item counts.
 
 Defined cases: a null text counts as empty; items with fewer words than a window
-can't be told from ordinary prose and never match (WINDOW is a parameter); items
+can't be told from ordinary prose and never match (WINDOW is a parameter), nor do
+items of placeholders alone; items
 with equal texts are matched alike; repeated rows are judged one by one; an empty
 benchmark leaves everything clean; extra columns pass through decontaminate().
 """
@@ -21,35 +26,38 @@ benchmark leaves everything clean; extra columns pass through decontaminate().
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import GAP, free_name, materialize
 
 WINDOW, COVERAGE = 5, 0.8
+#: Words by which neighbouring diagonals of a place may differ. All of a place differ from
+#: its largest one by as many, or by a share of the item's windows.
+DRIFT, DRIFT_SHARE = 8, 0.25
 # Units of measure that become a placeholder after a number.
 UNITS = ["km", "kg", "cm", "mm", "ml", "mg", "mph", "kwh", "hz", "khz", "mhz", "ghz", "usd", "eur", "gbp", "meters", "metres", "miles", "feet", "inches", "hours", "minutes", "seconds", "days", "dollars", "euros", "cents", "percent", "grams", "kilograms", "liters", "litres", "pounds", "degrees"]
-#: Marks a name: a private-use character put before it, which lower() leaves.
-_MARK = "\ue000"
+#: Private-use characters, which lower() leaves: before a name, inside a decimal number,
+#: between the words of a name, before a unit.
+_NAME, _POINT, _AND, _UNIT = "\ue000", "\ue001", "\ue002", "\ue003"
 #: The benchmark's windows are broadcast up to this many, else shuffled.
 BROADCAST_ROWS = 200_000
 _BITS = 1 << 18
 
 
 def _slots(text: Column, names: bool = True) -> Column:
-    """The lowered words, names marked if wanted, aligned with the template's words."""
-    marked = F.coalesce(text, F.lit(""))
+    """The lowered words, with names and units marked, aligned with the template's words."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[0-9])[.,](?=[0-9])", _POINT)
     if names:
-        marked = F.regexp_replace(marked, r"([a-z0-9,;]\s++)(?=\p{Lu}\p{Ll})", f"$1{_MARK}")
-    return F.filter(F.split(F.lower(marked), GAP), lambda w: w != "")
+        marked = F.regexp_replace(marked, r"([a-z0-9,;]\s++)(?=\p{Lu}\p{Ll})", f"$1{_NAME}")
+        marked = F.replace(F.regexp_replace(marked, rf"({_NAME}\p{{L}}++)\s++(?={_NAME})", f"$1{_AND}"), F.lit(_AND + _NAME), F.lit(_AND))
+    marked = F.regexp_replace(F.lower(marked), rf"([0-9]\s++)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}0-9]))", f"$1{_UNIT}")
+    return F.filter(F.split(marked, GAP), lambda w: w != "")
 
 
 def _kind(w: Column) -> Column:
     """The placeholder of a word, or null if the word stands for itself."""
-    return (
-        F.when(w < ":", F.lit("<number>"))
-        .when((w >= _MARK) & (w < "\ue001"), F.lit("<name>"))
-        .when(w.isin(UNITS), F.lit("<unit>"))
-    )
+    return F.when(w < ":", F.lit("<number>")).when(w.startswith(_NAME), F.lit("<name>")).when(w.startswith(_UNIT), F.lit("<unit>"))
 
 
 def _hashed(df: DataFrame, k: int) -> DataFrame:
@@ -108,13 +116,24 @@ def _table(windows: DataFrame) -> Column:
     return F.from_json(F.lit(str(table)), "array<bigint>")
 
 
+def _one_to_one(slots: Column) -> Column:
+    """No value of the item stands for two of the document, nor the other way round."""
+    values = lambda of: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s.kind, s[of]))))
+    return (values("item") == F.size(slots)) & (values("doc") == F.size(slots))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, coverage: float = COVERAGE) -> tuple[DataFrame, DataFrame]:
     """(rows, found): rows has doc_id, row, key; found has row, item_id, coverage.
 
     key is a digest of the text, by which equal texts can be found again.
     """
     items = materialize(_hashed(benchmark.select("item_id", "text"), k).select("item_id", "w", "g", "v", "p"), "items")
-    of = lambda form, w, g: items.select("item_id", F.lit(form).alias("form"), F.col(w).alias("w"), F.size(g).alias("n_windows"), F.posexplode(g).alias("ipos", "g"))
+
+    def of(form: int, w: str, g: str) -> DataFrame:
+        each = F.transform(g, lambda h, i: F.struct(i.alias("ipos"), h.alias("g"), F.slice(F.col(w), i + 1, k).alias("iwords")))
+        told = F.filter(each, lambda x: F.exists(x.iwords, lambda y: _kind(y).isNull()))
+        return items.select("item_id", F.lit(form).alias("form"), told.alias("told")).select("item_id", "form", F.size("told").alias("n_windows"), F.inline("told"))
+
     windows = materialize(of(1, "w", "g").unionByName(of(2, "v", "p")), "windows")
     bits = _table(windows)
 
@@ -128,7 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, coverage: fl
         F.concat(near(1, "w", "g"), near(2, "v", "p")).alias("near"),
     )
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "near")
-    side = windows.select("item_id", "form", "g", "ipos", "n_windows", F.slice("w", F.col("ipos") + 1, k).alias("iwords"))
+    side = windows
     if windows.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     hits = rows.where(F.size("near") > 0).select("row", F.inline("near")).join(side, ["form", "g"])
@@ -144,16 +163,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, coverage: fl
         hits.groupBy("row", "item_id", "n_windows", "form", "diag")
         .agg(F.collect_set("ipos").alias("found"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
     )
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s.kind, s.item)))) == F.size("slots")) & (
-        F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s.kind, s.doc)))) == F.size("slots")
+    # A word put in or left out moves the rest to another diagonal of the place.
+    at = W.partitionBy("row", "item_id", "n_windows", "form")
+    places = (
+        places.where(_one_to_one(F.col("slots")))
+        .withColumn("new", F.coalesce((F.col("diag") - F.lag("diag").over(at.orderBy("diag")) > DRIFT).cast("int"), F.lit(1)))
+        .withColumn("place", F.sum("new").over(at.orderBy("diag")))
+        .groupBy("row", "item_id", "n_windows", "form", "place")
+        .agg(F.sort_array(F.collect_list(F.struct(F.size("found").alias("n"), "diag", "found", "slots")), asc=False).alias("diags"))
+        .where(F.size(F.array_distinct(F.flatten("diags.found"))) >= coverage * F.col("n_windows"))
     )
-    # A word put in or left out moves the rest to another diagonal: those that
-    # are consistent count together.
+    limit = F.greatest(F.lit(DRIFT), F.col("n_windows") * DRIFT_SHARE)
+    first = F.get("diags", F.lit(0))
+
+    def add(acc: Column, d: Column) -> Column:
+        slots = F.array_union(acc.slots, d.slots)
+        new = F.struct(F.array_union(acc.found, d.found).alias("found"), slots.alias("slots"))
+        return F.when((F.abs(d.diag - first.diag) <= limit) & _one_to_one(slots), new).otherwise(acc)
+
+    n = F.aggregate("diags", F.struct(first.found.alias("found"), first.slots.alias("slots")), add, lambda acc: F.size(acc.found))
     found = (
-        places.where(one_to_one)
-        .groupBy("row", "item_id", "n_windows")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"))
-        .select("row", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"))
+        places.select("row", "item_id", (n / F.col("n_windows")).alias("coverage"))
+        .groupBy("row", "item_id")
+        .agg(F.max("coverage").alias("coverage"))
         .where(F.col("coverage") >= coverage)
     )
     return rows.select("doc_id", "row", "key"), found
