@@ -6,8 +6,8 @@ on a text predicts the bit. Decoding sums, over the bits, a logistic loss of the
 margins against each codeword, weighted by the bit's accuracy, and takes the
 nearest codeword. Texts whose two nearest codewords are close are flagged.
 
-Fitted on at most PER_LANG texts of each language and TOTAL in all, taken in hash
-order from the learning fold.
+Fitted on at most PER_LANG texts of each language, TOTAL texts and BYTES in all,
+taken in hash order from the learning fold.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0 and
 isn't ambiguous; with no language to learn everything is "und"; with one, every
@@ -17,6 +17,7 @@ gives an empty result; extra columns are ignored. Only the text enters a predict
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from palimpsest.llm import vec
 
 PER_LANG, TOTAL = 300, 2400
+#: Bytes of text to learn from, shared by the languages alike; a language's last text may go beyond.
+BYTES = 64 << 20
 #: Hashed features: bigrams in the first half, trigrams in the second.
 DIM = 4096
 RIDGE, MARGIN = 0.02, 0.15
-_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
+_SCHEMA = "lang_pred string, score double, ambiguous boolean"
 #: Texts turned into features at a time.
 _ROWS = 128
 
@@ -129,11 +132,20 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL) -> Deco
     want = max(1, min(per_lang, total // len(counts)))
     # Twice the rows wanted of each language, by hash; then exactly so many.
     place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 32))
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, (2 * want + 20) / n) * (1 << 32)))).otherwise(limit)
-    got = rows.select("lang", "text", "doc_id", place.alias("place")).where(F.col("place") < limit).toPandas()
-    got = got.sort_values(["lang", "place", "doc_id", "text"], kind="stable").groupby("lang").head(want)
+    share = F.lit(json.dumps({lang: int(min(1.0, (2 * want + 20) / n) * (1 << 32)) for lang, n in counts.items()}))
+    limit = F.element_at(F.from_json(share, "map<string,bigint>"), F.col("lang"))
+    held = rows.select("lang", "text", "doc_id", place.alias("place")).where(F.col("place") < limit)
+    # Which rows to learn from is known from their sizes alone, so that few bytes come to the driver.
+    key = F.xxhash64("text")
+    sizes = held.select("lang", "place", "doc_id", F.octet_length("text").alias("size"), key.alias("key")).toPandas()
+    sizes = sizes.sort_values(["lang", "place", "doc_id", "key"], kind="stable").groupby("lang").head(want)
+    sizes["upto"] = sizes.groupby("lang")["size"].cumsum()
+    sizes = sizes[sizes["upto"] - sizes["size"] < BYTES // len(counts)]
+    if not len(sizes):
+        return Decoder.fit([], [])
+    top = {lang: int(p) for lang, p in sizes.groupby("lang")["place"].max().items()}
+    got = held.where(F.col("place") <= F.element_at(F.from_json(F.lit(json.dumps(top)), "map<string,bigint>"), F.col("lang"))).withColumn("key", key).toPandas()
+    got = got.sort_values(["lang", "place", "doc_id", "key"], kind="stable").groupby("lang").head(want)
     return Decoder.fit([vec.encode(t) for t in got["text"]], list(got["lang"]))
 
 
@@ -141,19 +153,19 @@ def identify(docs: DataFrame, decoder: Decoder) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of each row; docs has held_out."""
     held = docs.sparkSession.sparkContext.broadcast(decoder)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         d = held.value
-        for pdf in batches:
-            lang, score, near = np.full(len(pdf), "und", dtype=object), np.zeros(len(pdf)), np.zeros(len(pdf), bool)
+        for column in batches:
+            lang, score, near = np.full(len(column), "und", dtype=object), np.zeros(len(column)), np.zeros(len(column), bool)
             if d.langs:
-                for first, texts in vec.blocks(pdf["text"]):
+                for first, texts in vec.blocks(column):
                     at = slice(first, first + len(texts))
                     lang[at], score[at], near[at] = d.predict(texts)
-                silent = ~pdf["text"].map(has_letter).to_numpy(dtype=bool)
+                silent = ~column.map(has_letter).to_numpy(dtype=bool)
                 lang[silent], score[silent], near[silent] = "und", 0.0, False
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score, "ambiguous": near})
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "ambiguous": near})
 
-    return docs.select("doc_id", "held_out", "text").mapInPandas(predict, _SCHEMA)
+    return docs.select("doc_id", "held_out", F.pandas_udf(predict, _SCHEMA)("text").alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
