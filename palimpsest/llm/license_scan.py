@@ -80,15 +80,16 @@ def _passes(h: Column, bits: Column) -> Column:
 def _chains(places: DataFrame) -> DataFrame:
     """Of each place the runs of pairs that follow the template in order.
 
-    A pair continues a run if it lies further on in both and at most DRIFT
-    diagonals away. Only pairs near enough to be continued are kept, and ends of
+    A pair continues a run if it lies further on in both, at most DRIFT diagonals
+    from the pair before and at most DRIFT, or a share of 1 - COVERAGE of the
+    template, from the run's first. Only pairs near enough to be continued are kept, and ends of
     long enough runs.
     """
     m = F.col("m")
     pairs = F.array_sort(F.flatten(F.transform("hits", lambda h: F.transform(h.found, lambda t: F.struct((h.diag + t).alias("pos"), t.alias("tpos"))))))
 
     def step(acc: Column, x: Column) -> Column:
-        before = F.filter(acc, lambda a: (a.pos < x.pos) & (a.tpos < x.tpos) & (F.abs(x.pos - x.tpos - a.pos + a.tpos) <= DRIFT))
+        before = F.filter(acc, lambda a: (a.pos < x.pos) & (a.tpos < x.tpos) & (F.abs(x.pos - x.tpos - a.pos + a.tpos) <= DRIFT) & (F.abs(x.pos - x.tpos - a.start) <= F.greatest(F.lit(DRIFT), m * (1 - COVERAGE))))
         best = F.array_max(F.transform(before, lambda a: F.struct(a.n.alias("n"), a.start.alias("start"))))
         new = F.transform(
             F.array(best),
