@@ -10,19 +10,25 @@ Shares: with children of weight w and capacity c under budget b, each gets
 min(c, l * w) where l makes the sum min(b, sum of c). Sorted by c / w, l follows
 from running sums, so that a level is one window over its nodes.
 
+Weights are given by leaf, as a table, or by level, as TARGETS: there a child that
+isn't named weighs 1.
+
 Prefixes: a leaf's documents are spread over buckets by their seeded order, the
 buckets' tokens are summed, and only the documents of the bucket in which the
 prefix ends are looked at one by one. No window holds a whole leaf.
 
 Defined cases: a null text has no tokens and, as it costs nothing, is taken
 whenever its place in the order comes before the cut; null domain, lang or source
-are a leaf of their own; rows that repeat a doc_id share a place in the order and
+are a leaf of their own; a leaf that a table of weights doesn't name weighs 0 and gets
+nothing; rows that repeat a doc_id share a place in the order and
 are taken or left together; an empty table gives an empty result; extra columns
 pass through mix().
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +42,12 @@ BUCKET_ROWS = 2000
 #: Buckets by the leading hex digits of the order's 60 bits.
 _SPAN = 1 << 60
 LEVELS = ["domain", "lang", "source"]
+#: Target weights of the query and the pipeline, for the domains of numbered_domain().
+TARGETS = {
+    "domain": {"bulk": 2.0, "web": 3.0, "reference": 4.0, "other": 1.0},
+    "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0},
+    "source": {"src1": 2.0, "src10": 2.0},
+}
 
 
 def order_of(doc_id: Column, epoch: Column, seed: int) -> Column:
@@ -54,6 +66,21 @@ def domain_of(source: Column) -> Column:
     return F.regexp_replace(source, "[0-9]+$", "")
 
 
+def numbered_domain(source: Column) -> Column:
+    """A domain by the source's number: 0 is bulk, 1 to 9 are web, the rest is reference."""
+    number = F.regexp_extract(source, "([0-9]+)$", 1)
+    named = F.when(number.rlike("^0+$"), "bulk").when(number.rlike("^0*[1-9]$"), "web").when(number != "", "reference")
+    return F.coalesce(named, F.lit("other"))
+
+
+def _target(targets: dict[str, dict[str, float]] | None, level: str) -> Column:
+    """The weight that targets give to a child of this level, or 1."""
+    if not (targets or {}).get(level):
+        return F.lit(1.0)
+    table = F.from_json(F.lit(json.dumps(targets[level])), "map<string,double>")
+    return F.coalesce(F.element_at(table, F.col(level)), F.lit(1.0))
+
+
 def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """Adds share: each node's part of its parent's budget (columns budget, weight, capacity)."""
     w = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(0))
@@ -68,7 +95,7 @@ def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     # one at the first node above it, and lower at all nodes after that.
     level = F.when(F.col("open") > 1e-12, F.greatest(F.lit(0.0), F.col("budget") - F.col("full")) / F.col("open")).otherwise(F.lit(0.0))
     sums = sums.withColumn("level", level)
-    true = F.coalesce(F.max(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(w), inf)
+    true = F.coalesce(F.max(F.when((F.col("weight") > 0) & (F.col("level") < F.col("ratio")), F.col("level"))).over(w), inf)
     part = F.when(F.col("weight") > 0, F.least("capacity", true * F.col("weight"))).otherwise(F.lit(0.0))
     return sums.withColumn("share", part).drop("ratio", "full", "open", "level")
 
@@ -81,21 +108,23 @@ def _same(left: DataFrame, right: DataFrame, prefix: str, keys: list[str]) -> Co
     return out
 
 
-def budgets(leaves: DataFrame, weights: DataFrame | None, fraction: float, epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, weights: DataFrame | None, fraction: float, epochs: int, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Leaves with columns n_tokens, budget (double), epochs_full and rest.
 
-    weights: (domain, lang, source, weight) of leaves; without it all children of
-    a node weigh the same.
+    weights: (domain, lang, source, weight) of leaves, which add up to their
+    ancestors' weights; without it children weigh what targets say.
     """
+    if unknown := set(targets or {}) - set(LEVELS):
+        raise ValueError(f"no such level: {sorted(unknown)}")
     leaves = leaves.withColumn("capacity", F.col("n_tokens").cast("double") * epochs)
     if weights is None:
-        leaves = leaves.withColumn("weight", F.lit(1.0))
+        leaves = leaves.withColumn("weight", _target(targets, "source"))
     else:
         given = weights.groupBy(*LEVELS).agg(F.max("weight").cast("double").alias("weight")).select(*[F.col(c).alias(f"w_{c}") for c in LEVELS], "weight")
         leaves = leaves.join(given, _same(leaves, given, "w_", LEVELS), "left").drop(*[f"w_{c}" for c in LEVELS]).fillna({"weight": 0.0})
     by_leaf = weights is not None
-    mid = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"), (F.sum("weight") if by_leaf else F.lit(1.0)).alias("weight"))
-    top = mid.groupBy("domain").agg(F.sum("capacity").alias("capacity"), (F.sum("weight") if by_leaf else F.lit(1.0)).alias("weight"))
+    mid = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"), (F.sum("weight") if by_leaf else F.first(_target(targets, "lang"))).alias("weight"))
+    top = mid.groupBy("domain").agg(F.sum("capacity").alias("capacity"), (F.sum("weight") if by_leaf else F.first(_target(targets, "domain"))).alias("weight"))
     whole = leaves.agg((F.coalesce(F.sum("n_tokens"), F.lit(0)) * F.lit(fraction)).alias("budget"))
     top = share(top.crossJoin(F.broadcast(whole)), [])  # one row: the budget of the root
     mid = _down(mid, top, ["domain"])
@@ -110,7 +139,7 @@ def _down(nodes: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     return share(nodes.join(p, _same(nodes, p, "p_", keys)).drop(*[f"p_{c}" for c in keys]), keys)
 
 
-def cuts(docs: DataFrame, weights: DataFrame | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
+def cuts(docs: DataFrame, weights: DataFrame | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """A row for each leaf: its budget, whole epochs and cut.
 
     A document of the leaf is taken epochs_full times, and once more if its place
@@ -119,7 +148,7 @@ def cuts(docs: DataFrame, weights: DataFrame | None = None, fraction: float = FR
     rows = docs.select((domain_of(F.col("source")) if domain is None else domain).alias("domain"), "lang", "source", "doc_id", tokens_of(F.col("text")).alias("tokens"))
     rows = materialize(rows, "tokens")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
-    plan = materialize(budgets(leaves, weights, fraction, epochs), "plan")
+    plan = materialize(budgets(leaves, weights, fraction, epochs, targets), "plan")
     small = plan.select(*[F.col(c).alias(f"l_{c}") for c in LEVELS], "epochs_full", "rest", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long").alias("n_buckets"))
     placed = rows.join(small, _same(rows, small, "l_", LEVELS)).withColumn("place", order_of(F.col("doc_id"), F.col("epochs_full"), seed)).withColumn("bucket", F.floor(F.col("place") / (F.lit(_SPAN) / F.col("n_buckets"))).cast("long"))
     keys = [f"l_{c}" for c in LEVELS]
@@ -143,9 +172,9 @@ def cuts(docs: DataFrame, weights: DataFrame | None = None, fraction: float = FR
     return materialize(done.drop(*[f"c_{c}" for c in LEVELS]), "cuts")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The documents taken, with a column epochs: how often each is used."""
-    leaf = cuts(docs, weights, fraction, epochs, seed, domain)
+    leaf = cuts(docs, weights, fraction, epochs, seed, domain, targets)
     names = free_name(docs, "m_domain", "m_lang", "m_source", "m_full", "m_cut", "m_of")
     side = leaf.select(*[F.col(c).alias(n) for c, n in zip([*LEVELS, "epochs_full", "cut"], names, strict=False)])
     d, lang, s, full, cut, own = names
