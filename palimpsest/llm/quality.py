@@ -7,31 +7,34 @@ the more so the fewer documents it has, by prior strengths that the spread
 between sites determines. A document's odds are its own evidence times what its
 path's rate adds to the global one.
 
-The models are fitted on at most SAMPLE labelled documents, taken in hash order;
-sites' rates come from all documents.
+The models are fitted on at most SAMPLE labelled documents of SAMPLE_BYTES in all,
+taken in hash order, by one task, which hands over the weights of telling words
+only; sites' rates come from all documents.
 
 Defined cases: a null text counts as empty; null host or path is a site of its
 own; labels of unknown documents are ignored and of several labels for a document
-the highest counts; without labels, or with one class only, that model says the
+the highest counts; of several texts of a labelled document the shortest is fitted,
+then the first in order; without labels, or with one class only, that model says the
 base rate for everything; repeated rows are scored one by one; an empty table
 gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.llm import vec
-from palimpsest.llm.common import free_name, materialize
+from palimpsest.llm.common import discard, free_name, materialize
 
-#: Labelled documents to fit on, at most.
-SAMPLE = 4000
+#: Labelled documents to fit on, and their bytes, at most.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 #: Hashed word features.
 BUCKETS = 1 << 20
 HEADS = ("quality", "toxic")
@@ -70,30 +73,39 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Logistic:
-    """Weights of shapes and words; fitted by full-batch gradients."""
+    """Weights of shapes and of the known words; fitted by full-batch gradients."""
 
-    def __init__(self, mean, scale, shape_w, word_w, bias):
-        self.mean, self.scale, self.shape_w, self.word_w, self.bias = mean, scale, shape_w, word_w, bias
+    def __init__(self, mean, scale, shape_w, known, word_w, bias):
+        self.mean, self.scale, self.shape_w, self.known, self.word_w, self.bias = mean, scale, shape_w, known, word_w, bias
 
     def logit(self, shape: np.ndarray, of: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         x = np.clip((shape - self.mean) / self.scale, -4, 4)
-        return x @ self.shape_w + np.bincount(of, weights=self.word_w[bucket], minlength=len(shape)) + self.bias
+        out = x @ self.shape_w + self.bias
+        if len(self.known):
+            hit, place = self.among(bucket)
+            out += np.bincount(of[hit], weights=self.word_w[place[hit]], minlength=len(shape))
+        return out
+
+    def among(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the buckets are known, and their places among these."""
+        place = np.minimum(np.searchsorted(self.known, bucket), max(0, len(self.known) - 1))
+        return self.known[place] == bucket if len(self.known) else np.zeros(len(bucket), bool), place
 
     @classmethod
     def fit(cls, shape: np.ndarray, of: np.ndarray, bucket: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> Logistic:
         n = len(y)
         mean, scale = (shape.mean(axis=0), shape.std(axis=0) + 1e-6) if n else (np.zeros(_SHAPES), np.ones(_SHAPES))
         rate = (y.sum() + 1) / (n + 2)
-        m = cls(mean, scale, np.zeros(_SHAPES), np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
+        none = np.zeros(0)
+        m = cls(mean, scale, np.zeros(_SHAPES), none.astype(np.int64), none, float(np.log(rate / (1 - rate))))
         if not n or y.min() == y.max():
             return m
         x = np.clip((shape - mean) / scale, -4, 4)
         # Only words that tell the classes apart beyond chance.
-        known = np.flatnonzero(_telling(of, bucket, y))
-        place = np.minimum(np.searchsorted(known, bucket), max(0, len(known) - 1))
-        hit = known[place] == bucket if len(known) else np.zeros(len(bucket), bool)
+        m.known = np.flatnonzero(_telling(of, bucket, y))
+        hit, place = m.among(bucket)
         of, word = of[hit], place[hit]
-        w, size = np.zeros(len(known)), len(known)
+        w, size = np.zeros(len(m.known)), len(m.known)
         sums = [np.full(_SHAPES, 1e-8), np.full(size, 1e-8), 1e-8]
         for _ in range(rounds):
             z = x @ m.shape_w + np.bincount(of, weights=w[word], minlength=n) + m.bias
@@ -102,7 +114,7 @@ class Logistic:
             sums = [s + g * g for s, g in zip(sums, grads, strict=True)]
             steps = [0.3 * g / np.sqrt(s) for g, s in zip(grads, sums, strict=True)]
             m.shape_w, w, m.bias = m.shape_w - steps[0], w - steps[1], m.bias - steps[2]
-        m.word_w[known] = w
+        m.word_w = w
         return m
 
 
@@ -116,17 +128,7 @@ def _telling(of: np.ndarray, bucket: np.ndarray, y: np.ndarray, least: float = 2
     return g >= least
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Logistic]:
-    """The models of HEADS from at most sample labelled documents."""
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(*[F.max(h).alias(f"is_{h}") for h in HEADS])
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
-    # The sample is of a fixed size, so it can go to every task.
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+def _fit(got: pd.DataFrame) -> list[Logistic]:
     parts = [(first, *features(held)) for first, held in vec.blocks(got["text"])]
     shape = np.concatenate([p[1] for p in parts]) if parts else np.zeros((0, _SHAPES))
     of = np.concatenate([p[2] + p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -141,25 +143,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Logist
     return out
 
 
-def scored(docs: DataFrame, models: list[Logistic], names: list[str]) -> DataFrame:
-    """docs with the logit of each head."""
-    sc = docs.sparkSession.sparkContext
-    held = sc.broadcast(models)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    at = docs.columns.index("text")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            logits = np.zeros((len(names), len(pdf)))
-            for first, texts in vec.blocks(pdf.iloc[:, at]):
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list[Logistic]:
+    """The models of HEADS from at most sample labelled documents."""
+    chosen = (
+        labels.where(F.col("doc_id").isNotNull())
+        .groupBy(F.col("doc_id").alias("l_id"))
+        .agg(*[F.max(h).cast("double").alias(f"is_{h}") for h in HEADS])
+        .orderBy(F.xxhash64("l_id"), "l_id")
+        .limit(sample)
+    )
+    # The sample is of a fixed size, so it can go to every task.
+    text = F.coalesce("text", F.lit(""))
+    heads = [f"is_{h}" for h in HEADS]
+    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    got = got.groupBy("l_id", *heads).agg(F.min(F.struct(F.octet_length("text").alias("size"), "text")).alias("t"))
+    got = materialize(got.select("l_id", *heads, "t.size", "t.text"), "sample")
+    upto = F.sum("size").over(W.orderBy(F.xxhash64("l_id"), "l_id"))  # of sample rows at most
+    few = got.select("l_id", "size").withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("l_id")
+    rows = got.join(F.broadcast(few), "l_id", "left_semi").repartition(1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        pdf = pd.concat(held).sort_values("l_id") if held else pd.DataFrame({c: [] for c in ["l_id", "text", *heads]})
+        yield pd.DataFrame({"model": [pickle.dumps(_fit(pdf))]})
+
+    # Known words and their weights: some thousands of numbers.
+    out = rows.select("l_id", "text", *heads).mapInPandas(run, "model binary").first()
+    discard(got)
+    return pickle.loads(bytes(out.model)) if out else _fit(pd.DataFrame({c: [] for c in ["text", *heads]}))
+
+
+def scored(text: Column, models: list[Logistic], names: list[str]) -> Column:
+    """A struct of the logit of each head."""
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            logits = np.zeros((len(names), len(column)))
+            for first, texts in vec.blocks(column):
                 f = features(texts)
-                for k, m in enumerate(held.value):
+                for k, m in enumerate(models):
                     logits[k, first : first + len(texts)] = m.logit(*f)
-            for k, n in enumerate(names):
-                pdf[n] = logits[k]
-            yield pdf
+            yield pd.DataFrame(dict(zip(names, logits, strict=True)))
 
-    return docs.mapInPandas(score, schema)
+    return F.pandas_udf(score, ", ".join(f"{n} double" for n in names))(text)
 
 
 def _logit(p: Column) -> Column:
@@ -201,20 +227,18 @@ def _strength(rates: DataFrame, mu: float) -> float:
     return float(min(1e4, max(1.0, within / spread - 1)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
-    """docs with p_doc, p_site, p_quality, p_toxic and kept."""
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, columns: list[str] | None = None) -> DataFrame:
+    """docs (or these columns of it) with p_doc, p_site, p_quality, p_toxic and kept."""
     models = fit(docs, labels, sample)
-    host = F.col("source") if host is None else host
-    path = F.col("lang") if path is None else path
-    slim = docs.select(host.alias("host"), path.alias("path"), "text")
     heads = list(HEADS)
-    site = sites(scored(slim, models, heads).select("host", "path", *heads), heads)
-    zs = free_name(docs, *[f"z_{h}" for h in heads])
-    sh, sp, own_h, own_p = free_name(docs, "site_host", "site_path", "own_host", "own_path")
-    rows = scored(docs, models, zs).withColumn(own_h, host).withColumn(own_p, path)
-    rows = rows.join(site.withColumnsRenamed({"host": sh, "path": sp}), F.col(own_h).eqNullSafe(F.col(sh)) & F.col(own_p).eqNullSafe(F.col(sp)))
-    out = free_name(docs, "p_doc", "p_site", "p_quality", "p_toxic", "kept")
-    quality, toxic = (_sigmoid(F.col(z) + F.col(f"add_{h}")) for z, h in zip(zs, heads, strict=True))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], _sigmoid(F.col(zs[0])).alias(out[0]), F.col("site_quality").alias(out[1]), quality.alias(out[2]), toxic.alias(out[3])).withColumn(
-        out[4], (F.col(out[2]) >= MIN_QUALITY) & (F.col(out[3]) < MAX_TOXIC)
-    )
+    columns = docs.columns if columns is None else columns
+    own = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own")  # so that no name clashes
+    rows = docs.select(own, (F.col("source") if host is None else host).alias("host"), (F.col("lang") if path is None else path).alias("path"), scored(F.col("text"), models, heads).alias("z"))
+    # Written once, as the texts would go to Python again for each use.
+    rows = materialize(rows.select("own", "host", "path", "z.*"), "evidence")
+    site = sites(rows.select("host", "path", *heads), heads).withColumnsRenamed({"host": "s_host", "path": "s_path"})
+    rows = rows.join(site, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
+    quality, toxic = (_sigmoid(F.col(h) + F.col(f"add_{h}")) for h in heads)
+    got = [_sigmoid(F.col("quality")), F.col("site_quality"), quality, toxic, (quality >= MIN_QUALITY) & (toxic < MAX_TOXIC)]
+    out = free_name(docs.select(*[f"`{c}`" for c in columns]), "p_doc", "p_site", "p_quality", "p_toxic", "kept")
+    return rows.select(*[F.col("own").getField(c).alias(c) for c in columns], *[g.alias(n) for g, n in zip(got, out, strict=True)])

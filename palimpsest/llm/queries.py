@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontam, exact_dedup, html_extract, langid, license_scan, mixing, omh, pii, quality, suffix_dedup
 
@@ -30,7 +31,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(_table(spark, sf_dir, "documents"))
+    taken = mixing.mix(_table(spark, sf_dir, "documents"), targets=mixing.TARGETS, domain=mixing.numbered_domain(F.col("source")))
     return taken.select("doc_id", "lang", "source", "epochs")
 
 
@@ -47,8 +48,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "p_doc", "p_site", "p_quality", "p_toxic", "kept")
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), columns=["doc_id"])
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
