@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with
 the columns of documents; the last adds how often each document is used.
+
+Defined cases: what the operators define for nulls, empty and very long texts, ties
+and repeated rows holds for each stage; equal rows are exact copies, of which one
+stays; an empty table gives an empty result; extra columns of documents pass through
+all stages, and the last stage's column is _epochs where epochs is taken.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each leaf's share of half the tokens; adds epochs."""
-    return mixing.mix(docs)
+    """Take each leaf's share of half the tokens, by the target weights; adds epochs."""
+    return mixing.mix(docs, targets=mixing.TARGETS, domain=mixing.numbered_domain(F.col("source")))
 
 
 STAGES = [
