@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
+#: Passages are broadcast up to this many.
+BROADCAST_ROWS = 20_000
 
 
 def relevance(hits: DataFrame, gold: DataFrame) -> DataFrame:
@@ -15,6 +17,28 @@ def relevance(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return hits.join(wanted, "qid").where(F.contains(F.col("source"), F.col("needle"))).select("arm", "qid", "rank", "g")
 
 
+def containing(docs: DataFrame, passages: DataFrame, words: int = 3) -> DataFrame:
+    """(qid, doc_id): texts that contain a passage. docs is (doc_id, text), passages (qid, passage).
+
+    A passage's second to fourth word (at blanks) are whole words of the text, too,
+    so that both are joined by their hash and then compared. Shorter passages are
+    compared with all texts.
+    """
+    p = passages.withColumn("w", F.split("passage", " ", -1)).withColumn("long", F.size("w") >= words + 2)
+    anchor = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(words)])
+    keyed = p.where("long").select("qid", "passage", anchor(F.col("w"), F.lit(1)).alias("key"))
+    w = F.col("w")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: anchor(w, i)))
+    d = docs.where(F.col("text").isNotNull())
+    if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        keyed = F.broadcast(keyed)
+    maybe = d.select("doc_id", F.split("text", " ", -1).alias("w")).select("doc_id", F.explode(runs).alias("key")).join(keyed.select("qid", "key"), "key").select("qid", "doc_id").distinct()
+    found = maybe.join(d, "doc_id").join(p.select("qid", "passage"), "qid").where(F.contains("text", F.col("passage"))).select("qid", "doc_id")
+    few = p.where("not long").select("qid", "passage")
+    short = d.join(few, F.contains(F.col("text"), F.col("passage"))).select("qid", "doc_id")
+    return found.unionByName(short).distinct()
+
+
 def evaluate(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """A row for each arm: MRR, hit@k and recall@k over all queries of gold, found or not.
 

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 
 def ranked(scores: DataFrame, k: int | None = None, score: str = "score") -> DataFrame:
-    """Adds rank, best first, ties by doc_id; keeps the first k of each query."""
-    out = scores.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), "doc_id")) - 1)
-    return out if k is None else out.where(F.col("rank") < k)
+    """Adds rank, best first, ties by doc_id; keeps the first k of each query.
+
+    The bare row number is filtered, so that each task keeps its first k before the shuffle.
+    """
+    out = scores.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), "doc_id")))
+    out = out if k is None else out.where(F.col("rank") <= k)
+    return out.withColumn("rank", F.col("rank") - 1)
 
 
 def minmax(scores: DataFrame, name: str = "norm") -> DataFrame:

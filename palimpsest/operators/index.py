@@ -3,7 +3,7 @@
 postings(term, doc_id, tf), terms(term, df, cf), doc_stats(doc_id, dl) and
 coll(n, n_docs, avgdl, total), the last with one row. Words are expanded to terms
 once for each distinct word of the corpus and joined back, and counts are combined
-before every shuffle.
+before every shuffle. The counts are written once; all four tables derive from them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.shared import materialize
 
 #: A table is broadcast up to this many rows.
 BROADCAST_ROWS = 100_000
@@ -51,6 +52,7 @@ def term_counts(docs: DataFrame, text: Column | None = None, strip_trailing_dot:
     """(doc_id, term, tf) of the texts' terms."""
     text = F.col("text") if text is None else text
     words = docs.select("doc_id", F.explode(T.raw_words(text, strip_trailing_dot)).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = materialize(words, "words")
     terms = words.select("word").distinct().select("word", F.explode(T.expand_word(F.col("word"))).alias("term")).where(T.is_term(F.col("term")))
     return words.join(terms, "word").groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
 
@@ -69,11 +71,14 @@ def build(docs: DataFrame, path_boost: int = 3, text: Column | None = None, max_
     counts = term_counts(docs, text, strip_trailing_dot)
     if path_boost:
         counts = counts.unionByName(path_counts(docs, path_boost)).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    counts = materialize(counts, "counts")
     stats = docs.select("doc_id").join(counts.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
-    coll = stats.agg((F.max("doc_id") + 1).alias("n"), F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total"))
     all_terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     keep = (F.col("df") <= F.col("n") * max_share) & ~F.col("term").rlike(r"^\p{P}+$")
     if prune_df is not None:
         keep = keep & (F.col("df") <= prune_df)
+    stats = materialize(stats, "doc_stats")
+    coll = stats.agg((F.max("doc_id") + 1).alias("n"), F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total"))
     terms = all_terms.join(F.broadcast(coll.select("n")), F.lit(True)).where(keep).select("term", "df", "cf")  # coll is one row
+    terms = materialize(terms, "terms")
     return Index(docs, counts.join(terms.select("term"), "term"), terms, stats, coll)

@@ -44,6 +44,9 @@ def bm25(index: Index, queries: DataFrame, k: int = 200, min_should_match: float
         hits = hits.join(candidates.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
     hits = hits.join(index.doc_stats, "doc_id")
     part = F.col("idf") * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    if expansions is None:  # a term is a token, and is there once
+        sums = hits.groupBy("qid", "doc_id", "need").agg(F.round(F.sum(part), 9).alias("score"), F.count(F.lit(1)).alias("matched"))
+        return fusion.ranked(sums.where(F.col("matched") >= F.col("need")).select("qid", "doc_id", "score"), k)
     # A term that several tokens expand to counts once; what qualifies is counted by token.
     once = hits.groupBy("qid", "doc_id", "term", "need").agg(F.first(part).alias("part"), F.collect_set("qtoken").alias("tokens"))
     sums = once.groupBy("qid", "doc_id", "need").agg(F.round(F.sum("part"), 9).alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("matched"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from palimpsest.functions import udfs
-from palimpsest.operators import generation
-from palimpsest.plans.base import table
+from palimpsest.operators import generation, vectors
+from palimpsest.plans.base import INDEX, table, with_
 from palimpsest.plans.text_queries import chunks
+from palimpsest.shared import new_path
 from palimpsest.sources import markdown, store
 from palimpsest.streaming import ingest
 
@@ -28,16 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _scratch(spark) -> str:
-    """A new folder that all of the cluster sees."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        import uuid
-
-        return f"{named.rstrip('/')}/palimpsest/{uuid.uuid4().hex}"
-    if not sc.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="palimpsest-")
+    return new_path(spark, "query")
 
 
 @query("p3_markdown")
@@ -82,9 +72,9 @@ def x22(s, d):
     return table(s, d, "documents").select("doc_id", udfs.extract_json(raw).alias("obj"))
 
 
-@query("x24_typed_decode", "select event_id, event_type, round(value, 4) as value from events where event_id % 10 = 0")
+@query("x24_typed_decode", "select event_id, event_type, round(value, 4) as value from events")
 def x24(s, d):
-    e = table(s, d, "events").where("event_id % 10 = 0")
+    e = table(s, d, "events")
     text = F.to_json(F.struct("event_id", "event_type", "value"))
     got = F.from_json(text, "event_id bigint, event_type string, value double", {"mode": "FAILFAST"})
     return e.select(got.alias("e")).select("e.event_id", "e.event_type", F.round("e.value", 4).alias("value"))
@@ -116,7 +106,7 @@ def s6(s, d):
     return store.flatten(_stored(s, d)).select("source", "chunk_idx", "chunk_uid", "text")
 
 
-@query("s8_index_round_trip")
+@query("s8_index_round_trip", with_(INDEX, "select term, df, cf from terms"))
 def s8(s, d):
     from palimpsest.operators.index import Index
     from palimpsest.plans.base import doc_index
@@ -126,12 +116,31 @@ def s8(s, d):
     return Index.load(s, path).terms.select("term", "df", "cf")
 
 
-@query("s9_vector_round_trip", "select vec_id, round(list_sum(embedding::double[]), 4) total, len(embedding)::int dim from embeddings")
+@query("s9_vector_round_trip", "select vec_id, round(list_sum(embedding::double[]), 4) total, (select max(len(embedding)) from embeddings)::bigint as dim, (select count(*) from embeddings) as n, 'given' as model, false as normalized from embeddings")
 def s9(s, d):
-    path = _scratch(s)
-    table(s, d, "embeddings").write.mode("overwrite").parquet(path)
+    path, rows = _scratch(s), table(s, d, "embeddings")
+    vectors.save(rows, path, "given", rows.agg(F.max(F.size("embedding"))).first()[0], False)
+    got, meta = vectors.load(s, path)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
-    return s.read.parquet(path).select("vec_id", F.round(total, 4).alias("total"), F.size("embedding").alias("dim"))
+    of = {"dim": F.lit(meta["dim"]).cast("long"), "n": F.lit(meta["count"]).cast("long"), "model": F.lit(meta["model"]), "normalized": F.lit(meta["normalized"])}
+    return got.select("vec_id", F.round(total, 4).alias("total"), *[c.alias(n) for n, c in of.items()])
+
+
+@query("i4_resumed_vectors", "select doc_id::varchar chunk_uid, md5(coalesce(text, '')) text_md5, 32::bigint dim from documents where doc_id is not null")
+def i4_build(s, d):
+    path, model = _scratch(s), vectors.get_embedder("hash", 32)
+    chunks = table(s, d, "documents").where("doc_id is not null").select(F.col("doc_id").cast("string").alias("chunk_uid"), "text")
+    before = chunks.where("chunk_uid like '%7'").select("chunk_uid", F.lit("of another day").alias("text"))
+    vectors.build(chunks.where("chunk_uid not like '%7'").unionByName(before), path, model, 2, stop_after=1)  # breaks off
+    vectors.build(chunks, path, model, 2)
+    return vectors.load(s, path)[0].select("chunk_uid", "text_md5", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("r7_encode_queries", "select item_id, 64::bigint dim, 1.0::double norm from benchmark where len(text) > 0")
+def r7(s, d):
+    v = vectors.encode(table(s, d, "benchmark").where("length(text) > 0"), vectors.get_embedder("hash", 64), queries=True)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return v.select("item_id", F.size("embedding").cast("long").alias("dim"), F.round(norm, 5).alias("norm"))
 
 
 @query("i1_streaming_ingest", "select 'u' || user_id rel, md5(text) md5 from (select user_id, arg_max(text, ts || '~' || text) text from (select user_id, ts, event_type || ':' || event_id as text from events) group by user_id)")

@@ -6,10 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import evaluation, fusion, incremental, index, search
+from palimpsest.operators import evaluation, fusion, incremental, index, lsh, positions, search
 from palimpsest.plans.base import BM25, INDEX, bench_queries, bm25_hits, doc_index, table, with_
 from palimpsest.plans.search_queries import _DEDUP, _EVAL, _NOW, _OTHER, _dense, _gold, _other, _snapshots, _VEC
-from palimpsest.sources.pages import cap
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,9 +28,9 @@ def _terms_of(s, d):
     return search.query_tokens(bench_queries(s, d)).withColumnRenamed("qtoken", "term")
 
 
-@query("a4_bm25_sums", with_(BM25, "select qid, doc_id, score from scored where matched >= need and doc_id % 5 = 0"))
+@query("a4_bm25_sums", with_(BM25, "select qid, doc_id, score from scored where matched >= need"))
 def a4(s, d):
-    return search.bm25(doc_index(s, d), bench_queries(s, d), 1 << 30).where("doc_id % 5 = 0").select("qid", "doc_id", "score")
+    return search.bm25(doc_index(s, d), bench_queries(s, d), 1 << 30).select("qid", "doc_id", "score")
 
 
 @query("a5_matched_tokens", with_(INDEX, "select qid, doc_id, count(distinct term) matched from qt join postings using (term) group by all"))
@@ -50,10 +49,10 @@ def j1(s, d):
     return _terms_of(s, d).join(doc_index(s, d).postings, "term").select("qid", "term", "doc_id", "tf")
 
 
-@query("j2_posting_statistics", with_(INDEX, "select doc_id, term, tf, dl, df from postings join doc_stats using (doc_id) join terms using (term) where doc_id % 50 = 0"))
+@query("j2_posting_statistics", with_(INDEX, "select doc_id, term, tf, dl, df from postings join doc_stats using (doc_id) join terms using (term)"))
 def j2(s, d):
     i = doc_index(s, d)
-    return i.postings.where("doc_id % 50 = 0").join(i.doc_stats, "doc_id").join(i.terms.select("term", "df"), "term").select("doc_id", "term", "tf", "dl", "df")
+    return i.postings.join(i.doc_stats, "doc_id").join(i.terms.select("term", "df"), "term").select("doc_id", "term", "tf", "dl", "df")
 
 
 @query("j5_hits_with_text", with_(BM25, "select qid, doc_id, source, md5(text) md5 from bm25 join documents using (doc_id) where rank < 5"))
@@ -81,8 +80,8 @@ def j10(s, d):
 
 @query("j13_simhash_bands")
 def j13(s, d):
-    h = table(s, d, "benchmark").select("item_id", T.simhash(F.split("text", r"\s+")).alias("h"))
-    return h.select("item_id", F.posexplode(F.array(*[F.shiftrightunsigned("h", 4 * i).bitwiseAND(15) for i in range(16)])).alias("band", "value"))
+    h = lsh.banded(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), T.simhash(F.split("text", r"\s+")).alias("h")))
+    return lsh.candidates(h, h.where("doc_id % 20 = 0"))
 
 
 @query("j15_feedback_terms", with_(BM25, "select qid, term, sum(tf)::bigint tf from bm25 join postings using (doc_id) where rank < 3 group by all"))
@@ -160,11 +159,11 @@ def p10(s, d):
     return both.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
 
 
-@query("p15_read_page", "with w as (select unnest(['src1', 'src5', 'none']) source), p as (select source, string_agg(text, chr(10) || chr(10) order by doc_id) t from documents where doc_id < 200 group by source) select w.source, t is null missing, case when len(t) > 3000 then t[:3000] || chr(10) || '[... page truncated: ' || (len(t) - 3000) || ' more chars not shown ...]' else t end body from w left join p using (source)")
+@query("p15_read_page", "with w as (select unnest(['src1', 'src5', 'none']) source), p as (select source, string_agg(text, chr(10) || chr(10) order by doc_id) t from documents where source in (select source from w) group by source) select w.source, t is null missing, case when len(t) > 3000 then t[:3000] || chr(10) || '[... page truncated: ' || (len(t) - 3000) || ' more chars not shown ...]' else t end body from w left join p using (source)")
 def p15(s, d):
     wanted = s.range(1).select(F.explode(F.array(F.lit("src1"), F.lit("src5"), F.lit("none"))).alias("source"))
-    docs = table(s, d, "documents").where("doc_id < 200").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x.text), "\n\n").alias("t"))
-    return wanted.join(docs, "source", "left").select("source", F.col("t").isNull().alias("missing"), cap(F.col("t"), 3000).alias("body"))
+    docs = table(s, d, "documents").select("source", "doc_id", F.col("text"))
+    return positions.read_pages(docs.where(F.col("text").isNotNull()), wanted, 3000)
 
 
 @query("p12_snippet_with_fallback", "with b as (select doc_id, source, trim(regexp_replace(text, '(?m)^(Released under|Licensed under|This work is).*$', '', 'g'), chr(10) || ' ') t from documents), f as (select source, arg_min(t, doc_id) sib from b where len(t) >= 40 group by source) select doc_id, md5(case when len(t) < 40 then sib else t end) h from b left join f using (source)")
@@ -186,7 +185,7 @@ def v5(s, d):
     fused = lists.crossJoin(F.broadcast(arms)).groupBy("k", "qid", "doc_id").agg(F.round(F.sum(1.0 / (F.col("k") + F.col("rank"))), 12).alias("s"))  # three arms
     ranks = fused.withColumn("rank", F.row_number().over(W.partitionBy("k", "qid").orderBy(F.desc("s"), "doc_id")) - 1)
     b = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    gold = b.join(table(s, d, "documents").select("doc_id", "text"), F.contains(F.col("text"), F.col("passage"))).groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
+    gold = evaluation.containing(table(s, d, "documents").select("doc_id", "text"), b).groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
     found = gold.crossJoin(F.broadcast(arms)).join(ranks.select("k", "qid", "doc_id", "rank"), ["k", "qid", "doc_id"], "left")
     return found.groupBy("k").agg(F.round(F.avg(F.coalesce(1.0 / (F.col("rank") + 1), F.lit(0.0))), 6).alias("mrr"), F.count(F.lit(1)).alias("n"))
 

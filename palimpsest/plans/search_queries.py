@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import reports, udfs
 from palimpsest.functions import text as T
-from palimpsest.operators import evaluation, expand, fusion, incremental, rerank, search
+from palimpsest.operators import evaluation, expand, fusion, incremental, lsh, manifest, positions, rerank, search
 from palimpsest.plans.base import BM25, INDEX, bench_queries, bm25_hits, doc_index, once, table, with_
 from palimpsest.plans.text_queries import chunks
 
@@ -124,12 +124,12 @@ def j3(s, d):
     return search.bm25(i, q, 1 << 30, candidates=cand).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-_VEC = "ev as (select vec_id doc_id, embedding::double[] e from embeddings), qv as (select vec_id qid, embedding::double[] e from embeddings where vec_id % 25 = 0), dn as (select * from (select qid, doc_id, s score, row_number() over (partition by qid order by s desc, doc_id) - 1 rank from (select qv.qid, ev.doc_id, list_inner_product(ev.e, qv.e) s from ev, qv)) where rank < 50)"
+_VEC = "ev as (select vec_id doc_id, embedding::double[] e from embeddings), qv as (select vec_id qid, embedding::double[] e from embeddings where vec_id % 20 = 0), dn as (select * from (select qid, doc_id, s score, row_number() over (partition by qid order by s desc, doc_id) - 1 rank from (select qv.qid, ev.doc_id, list_inner_product(ev.e, qv.e) s from ev, qv)) where rank < 50)"
 
 
 def _dense(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = v.where("doc_id % 25 = 0").select(F.col("doc_id").alias("qid"), "embedding")
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "embedding")
     return once(s, d, "dense", lambda: search.dense(v, q, 50).cache())
 
 
@@ -151,7 +151,9 @@ _OTHER = ", oth as (select qid, doc_id, sc score, row_number() over (partition b
 
 def _other(s, d):
     docs = table(s, d, "documents").select("doc_id", "n_chars")
-    pairs = bench_queries(s, d).select("qid").crossJoin(docs).where((F.col("doc_id") + F.col("qid")) % 9 == 0)
+    # Each query's documents have one remainder, so that the pairs are an equi-join.
+    q = bench_queries(s, d).select("qid", F.pmod(-F.col("qid"), F.lit(9)).alias("rest"))
+    pairs = docs.withColumn("rest", F.pmod("doc_id", F.lit(9))).join(q, "rest")
     return fusion.ranked(pairs.select("qid", "doc_id", (F.lit(1000.0) / (1 + F.abs(F.col("n_chars") - 1500))).alias("score")))
 
 
@@ -231,9 +233,10 @@ _PG = "pg as (select doc_id, source, text, row_number() over (partition by sourc
 
 
 def _positions(s, d):
-    w = W.partitionBy("source")
     docs = table(s, d, "documents").select("doc_id", "source", "text")
-    return docs.withColumn("pos", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("n_chunks", F.count(F.lit(1)).over(w)).withColumn("chars", F.sum(F.length("text")).over(w))
+    placed = positions.numbered_within(docs, "source", ["doc_id"], "pos")
+    sizes = positions.page_sizes(docs).withColumnRenamed("source", "page")
+    return placed.join(sizes, F.col("source").eqNullSafe(F.col("page"))).drop("page")
 
 
 @query("p14_neighbours", with_(BM25 + ", " + _PG, "select h.qid, h.doc_id, c.doc_id n_doc from bm25 h join pg a on a.doc_id = h.doc_id join pg c on c.source = a.source and c.pos between a.pos - 1 and a.pos + 1 and c.pos <> a.pos where h.rank < 5"))
@@ -264,9 +267,7 @@ def p18(s, d):
 
 @query("w4_positional_ids", "select doc_id, (row_number() over (order by source, doc_id) - 1)::bigint pos from documents")
 def w4(s, d):
-    from palimpsest.operators.positions import numbered
-
-    return numbered(table(s, d, "documents").select("doc_id", "source"), ["source", "doc_id"], "pos").select("doc_id", "pos")
+    return positions.numbered(table(s, d, "documents").select("doc_id", "source"), ["source", "doc_id"], "pos").select("doc_id", "pos")
 
 
 @query("k7_head_of_work", "select doc_id from documents order by source, doc_id limit 25")
@@ -326,7 +327,7 @@ def e5(s, d):
 
 def _gold(s, d):
     docs, b = table(s, d, "documents").select("doc_id", "source", "text"), table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    found = b.join(docs, F.contains(F.col("text"), F.col("passage")))
+    found = evaluation.containing(docs, b).join(docs.select("doc_id", "source"), "doc_id")
     return once(s, d, "gold", lambda: found.groupBy("qid").agg(F.array(F.min_by("source", "doc_id")).alias("gold")).cache())
 
 
@@ -461,10 +462,9 @@ def i4(s, d):
     return incremental.missing_vectors(docs.select("chunk_uid", "text"), done).select("chunk_uid")
 
 
-@query("s12_index_manifest", "select count(*) n_chunks, count(distinct source) n_pages, substr(sha1(string_agg(md5(text), '' order by doc_id)), 1, 8) sha from documents")
+@query("s12_index_manifest", "select count(*) n_chunks, count(distinct source) n_pages, lpad(lower(to_hex(bit_xor(('0x' || substr(md5(doc_id || ':' || coalesce(text, '')), 1, 15))::bigint))), 15, '0') sha from documents")
 def s12(s, d):
-    g = table(s, d, "documents").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("source").alias("n_pages"), F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("m")))).alias("m"))
-    return g.select("n_chunks", "n_pages", F.substring(F.sha1(F.array_join(F.transform("m", lambda x: x.m), "")), 1, 8).alias("sha"))
+    return manifest.of_chunks(table(s, d, "documents"), "doc_id").select("n_chunks", "n_pages", "sha")
 
 
 @query("s16_flatten")
@@ -548,11 +548,7 @@ def x19(s, d):
     votes = tokens.groupBy("row", "doc_id").agg(*[F.sum(F.getbit("x", F.lit(i)) * 2 - 1).alias(f"b{i}") for i in range(64)])
     bits = [F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
     h = votes.select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("h"))
-    # Of four 16-bit bands, one agrees if at most three bits differ.
-    keys = h.select("doc_id", "h", F.posexplode(F.array(*[F.shiftrightunsigned("h", 16 * i).bitwiseAND(0xFFFF) for i in range(4)])).alias("band", "v"))
-    a = keys.withColumnsRenamed({"doc_id": "a_id", "h": "x"})
-    pairs = a.join(keys.withColumnsRenamed({"doc_id": "b_id", "h": "y"}), ["band", "v"]).where("a_id < b_id").select("a_id", "b_id", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("distance"))
-    return pairs.where("distance <= 3").distinct()
+    return lsh.simhash_classes(h)
 
 
 @query("r19_hash_embedding")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import catalog
 from palimpsest.functions import text as T
+from palimpsest.operators import lsh
 
 
 @pytest.fixture(scope="module")
@@ -21,12 +22,14 @@ def small(spark, tmp_path_factory):
     return at
 
 
-def test_simhash_pairs_include_long_texts(spark, small):
+def test_simhash_classes_include_long_texts(spark, small):
     h = {r.doc_id: r.h for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", T.simhash(F.split("text", r"\s+")).alias("h")).collect()}
-    bits = lambda a, b: ((h[a] ^ h[b]) & (1 << 64) - 1).bit_count()
-    want = {(a, b, bits(a, b)) for a in h for b in h if a < b and bits(a, b) <= 3}
-    got = [tuple(r) for r in catalog.queries()["x19_simhash_lsh"](spark, small).select("a_id", "b_id", "distance").collect()]
-    assert sorted(got) == sorted(want) and (220, 225, 0) in want
+    first = {x: min(i for i in h if h[i] == x) for x in h.values()}
+    near = {x: sum(x != y and ((x ^ y) & (1 << 64) - 1).bit_count() <= 3 for y in first) for x in first}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in catalog.queries()["x19_simhash_lsh"](spark, small).collect()}
+    assert got == {i: (first[x], near[x]) for i, x in h.items()} and got[225][0] == 220
+    pairs = {(r.a, r.b, r.distance) for r in lsh.near_signatures(spark.createDataFrame(list(h.items()), "doc_id long, h long")).collect()}
+    assert pairs == {(x, y, ((x ^ y) & (1 << 64) - 1).bit_count()) for x in first for y in first if x < y and ((x ^ y) & (1 << 64) - 1).bit_count() <= 3}
 
 
 def test_minhash_signs_whole_passages(spark, small):
