@@ -66,35 +66,54 @@ def jaro_winkler(a: Column, b: Column, scale: float = 0.1, most: int = 4) -> Col
     return base + same * scale * (1 - base)
 
 
-# The sound rules, tried in this order at each letter. A rule has the
-# pattern from the letter on, what it sounds like, and how many letters it takes;
-# (?<!...) looks at the letter before, \Z is the end of the word.
-_SOUNDS = [
-    (r"(?<!\A)[AEIOU]", "", 1), (r"[AEIOU]", None, 1), (r"(?<=M)B\Z", "", 1), (r"B", "B", 1),
-    (r"(?<!S)CH", "X", 2), (r"CIA", "X", 3), (r"C(?:[IEY]|\Z)", "S", 2), (r"C", "K", 1),
-    (r"DG(?:[IEY]|\Z)", "J", 3), (r"D", "T", 1), (r"F", "F", 1),
-    (r"(?<=[^AEIOU])GH", "K", 2), (r"GH", "", 2), (r"GN\Z", "", 2), (r"GN", "N", 2), (r"GEL", "K", 3), (r"GIO", "J", 3), (r"G(?:[IEY]|\Z)", "J", 2), (r"G", "K", 1),
-    (r"(?:(?<=[AEIOU])|(?<=\A))H|H(?:[AEIOU]|\Z)", "H", 1), (r"H", "", 1), (r"J", "J", 1), (r"(?<=C)K", "", 1), (r"K", "K", 1),
-    (r"L", "L", 1), (r"M", "M", 1), (r"N", "N", 1), (r"PH", "F", 2), (r"P", "P", 1), (r"Q", "K", 1), (r"R", "R", 1),
-    (r"SH", "X", 2), (r"SI(?:[OA]|\Z)", "X", 3), (r"S", "S", 1),
-    (r"TI(?:[OA]|\Z)", "X", 3), (r"TH", "0", 2), (r"TCH", "", 1), (r"T", "T", 1), (r"V", "F", 1),
-    (r"W(?:[AEIOU]|\Z)", "W", 1), (r"W", "", 1), (r"X", "KS", 1), (r"Y(?:[AEIOU]|\Z)", "Y", 1), (r"Y", "", 1), (r"Z", "S", 1),
-]
-_SOUND_RULES = [(re.compile(p), s, n) for p, s, n in _SOUNDS]
+# First letters of which one is silent, and what they sound like; letters with one sound.
+_STARTS = {"AE": "E", "GN": "N", "KN": "N", "PN": "N", "WR": "R", "WH": "W", "X": "S"}
+_PLAIN = {"F": "F", "J": "J", "L": "L", "M": "M", "N": "N", "Q": "K", "R": "R", "V": "F", "X": "KS", "Z": "S"}
+_VOWELS, _FRONT = set("AEIOU"), set("EIY")
 
 
 def metaphone_of(word: str) -> str:
-    """A simple Metaphone: the first rule that matches at each place, without doubled sounds."""
-    up, at, out = word.upper(), 0, ""
-    while at < len(up):
-        for rule, sound, taken in _SOUND_RULES:
-            if rule.match(up, at):
-                out += up[at] if sound is None else sound
-                at += taken
-                break
-        else:
-            at += 1
-    return re.sub(r"(.)\1+", r"\1", out, flags=re.S)
+    """Metaphone as Lawrence Philips published it in 1990: vowels are kept at the start only."""
+    letters = re.sub(r"([^C])\1+", r"\1", re.sub("[^A-Z]", "", word.upper()))
+    for start, sound in _STARTS.items():
+        if letters.startswith(start):
+            letters = sound + letters[len(start) :]
+            break
+    return "".join(_sound(letters, i) for i in range(len(letters)))
+
+
+def _sound(w: str, i: int) -> str:
+    """What the letter at a place sounds like, by the letters around it."""
+    c, rest = w[i], w[i + 1 :]
+    before, after, then = w[i - 1 : i], rest[:1], rest[1:2]
+    if c in _VOWELS:
+        return c if i == 0 else ""
+    if c in _PLAIN:
+        return _PLAIN[c]
+    if c == "B":
+        return "" if before == "M" and not rest else "B"
+    if c == "C":
+        if before == "S" and after in _FRONT:
+            return ""
+        if rest.startswith("IA") or (after == "H" and before != "S"):
+            return "X"
+        return "S" if after in _FRONT and after else "K"
+    if c == "D":
+        return "J" if after == "G" and then in _FRONT and then else "T"
+    if c == "G":
+        silent = (after == "H" and then not in _VOWELS) or rest in ("N", "NED") or (before == "D" and after in _FRONT and after)
+        return "" if silent else "J" if after and after in _FRONT and before != "G" else "K"
+    if c == "H":
+        return "" if before and before in "CSPTG" or after not in _VOWELS or not after else "H"
+    if c == "K":
+        return "" if before == "C" else "K"
+    if c == "P":
+        return "F" if after == "H" else "P"
+    if c == "S":
+        return "X" if after == "H" or rest[:2] in ("IO", "IA") else "S"
+    if c == "T":
+        return "X" if rest[:2] in ("IO", "IA") else "0" if after == "H" else "" if rest.startswith("CH") else "T"
+    return c if after and after in _VOWELS else ""  # W and Y
 
 
 @F.pandas_udf(T.StringType())

@@ -107,12 +107,16 @@ def term_report(index: Index, queries: DataFrame, most: int = 12) -> DataFrame:
     return tokens.join(index.terms.select("term", "df"), "term", "left").select("qid", "at", "term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
+def below(docs: DataFrame, dirs: tuple[str, ...]) -> DataFrame:
+    """The documents whose source begins with one of the folders."""
+    return docs.where(_any([F.col("source").startswith(d) for d in dirs])) if dirs else docs
+
+
 def mentions(docs: DataFrame, term: str, limit: int = 60, context: int = 0, dirs: tuple[str, ...] | None = None, ignore_case: bool = True) -> DataFrame:
     """(source, count, context): literal occurrences by source, most first."""
     if not term:
         raise ValueError("the term is empty")
-    if dirs:
-        docs = docs.where(_any([F.col("source").startswith(d) for d in dirs]))
+    docs = below(docs, dirs or ())
     fold = F.lower if ignore_case else (lambda x: x)
     hay, needle = fold(F.coalesce("text", F.lit(""))), F.lit(term.lower() if ignore_case else term)
     n = ((F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))) / len(term)).cast("long")
@@ -143,7 +147,29 @@ def first_sources(hits: DataFrame, n: int) -> DataFrame:
     return seen.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("first_rank")) - 1).where(F.col("place") < n)
 
 
-def to_markdown(hits: DataFrame) -> DataFrame:
-    """A block of text for each query's hits."""
-    line = F.concat_ws("\n", F.concat(F.lit("## "), (F.col("rank") + 1).cast("string"), F.lit(". "), F.col("title"), F.lit("  "), F.format_string("(score %.4f)", "score")), F.concat(F.lit("source: "), F.col("source")), F.lit(""), F.col("snippet"))
-    return hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x.line), "\n\n").alias("markdown"))
+def to_markdown(hits: DataFrame, queries: DataFrame, report: DataFrame | None = None, bm25_only: bool = False) -> DataFrame:
+    """(qid, markdown): a block for each query: a heading, its hits, and which of its terms are indexed.
+
+    hits is (qid, rank from 0, title, source, score, snippet); bm25_only marks searches
+    that were to use vectors but had none; report is term_report().
+    """
+    one_line = F.regexp_replace(T.strip(F.coalesce("snippet", F.lit(""))), r"\s+", " ")
+    line = F.concat(
+        (F.col("rank") + 1).cast("string"), F.lit(". **"), F.col("title"), F.lit("** `"), F.col("source"), F.lit("` score="), F.format_string("%.4f", "score"),
+        F.lit("\n  > "), one_line, F.lit("\n  read: "), F.col("source"),
+    )
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x.line), "\n")
+    out = queries.join(hits.groupBy("qid").agg(lines.alias("lines")), "qid", "left")
+    head = F.concat(F.lit("### "), F.col("query"), F.lit(" (bm25-only)" if bm25_only else ""), F.lit("\n"), F.coalesce("lines", F.lit("no results")))
+    if report is None:
+        return out.select("qid", head.alias("markdown"))
+    known = F.array_sort(F.collect_list(F.when(F.col("df") > 0, F.struct("at", "term"))))
+    terms = report.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.transform(known, lambda x: x.term).alias("known"))
+    tail = F.concat(F.lit("\nterms in index: "), F.size("known").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" ["), F.array_join("known", ", "), F.lit("]"))
+    return out.join(terms, "qid", "left").select("qid", F.concat(head, F.coalesce(tail, F.lit(""))).alias("markdown"))
+
+
+def mentions_to_markdown(term: str, rows: list) -> str:
+    """mentions() as a list, one line a source."""
+    of = lambda r: f" — {r['context']}" if r["context"] else ""
+    return "\n".join([f"### mentions: {term} ({len(rows)} files)", *[f"- `{r['source']}` ×{r['count']}{of(r)}" for r in rows]])

@@ -114,7 +114,7 @@ def f4(s, d):
 
 @query("f5_source_prefix", "select doc_id, source from documents where source like 'src1%'")
 def f5(s, d):
-    return table(s, d, "documents").where(F.col("source").startswith("src1")).select("doc_id", "source")
+    return search.below(table(s, d, "documents"), ("src1",)).select("doc_id", "source")
 
 
 @query("j3_candidate_bm25", with_(BM25, "select qid, doc_id, round(score, 6) score from scored where matched >= need and doc_id % 3 = 0"))
@@ -258,11 +258,13 @@ def p17(s, d):
     return search.first_sources(hits, 3).select("qid", "source", F.col("place").cast("int").alias("place"))
 
 
-@query("p18_markdown", with_(BM25 + _DEDUP, "select qid, string_agg('## ' || (rank + 1) || '. doc ' || doc_id || '  ' || chr(10) || 'source: ' || source, chr(10) || chr(10) order by rank) markdown from one where rank < 3 group by qid"))
+@query("p18_markdown", with_(BM25 + _DEDUP + """, ln as (select qid, string_agg((rank + 1) || '. **doc ' || doc_id || '** `' || source || '` score=' || printf('%.4f', score) || chr(10) || '  > ' || trim(regexp_replace(text[:40], '\\s+', ' ', 'g')) || chr(10) || '  read: ' || source, chr(10) order by rank) t from one join (select doc_id, text from documents) using (doc_id) where rank < 3 group by qid),
+kn as (select qid, count(*) n, count(df) k from qt left join terms using (term) group by qid)""", "select qid, '### ' || query || ' (bm25-only)' || chr(10) || coalesce(t, 'no results') as head, coalesce(k || '/' || n, '') as known from q left join ln using (qid) left join kn using (qid)"))
 def p18(s, d):
-    hits = fusion.per_source(bm25_hits(s, d).join(doc_index(s, d).docs.select("doc_id", "source"), "doc_id"), 1).where("rank < 3")
-    line = F.concat(F.lit("## "), (F.col("rank") + 1).cast("string"), F.lit(". doc "), F.col("doc_id").cast("string"), F.lit("  \nsource: "), F.col("source"))
-    return hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x.line), "\n\n").alias("markdown"))
+    i, q = doc_index(s, d), bench_queries(s, d)
+    hits = search.search(i, q, k=3).join(i.docs.select("doc_id", "text"), "doc_id").withColumn("title", F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).withColumn("snippet", F.substring("text", 1, 40))
+    out = search.to_markdown(hits, q, search.term_report(i, q, 1000), bm25_only=True)
+    return out.select("qid", F.substring_index("markdown", "\nterms in index: ", 1).alias("head"), F.regexp_extract("markdown", r"\nterms in index: (\d+/\d+) ", 1).alias("known"))
 
 
 @query("w4_positional_ids", "select doc_id, (row_number() over (order by source, doc_id) - 1)::bigint pos from documents")

@@ -153,15 +153,15 @@ def p7b(s, d):
     return one.select("doc_id", F.explode(T.pack_paragraphs(F.col("text"))).alias("chunk"))
 
 
-@query("p8_index_text", "select doc_id, array_to_string(list_filter([source, lang, text[:200], 'n' || n_chars, source || '-x'], lambda x: x is not null and x <> ''), chr(10)) t from documents")
+@query("p8_index_text", "select doc_id, array_to_string(list_filter([source, lang, text, 'n' || n_chars, source || '-x'], lambda x: x is not null and x <> ''), chr(10)) t from documents")
 def p8(s, d):
-    parts = T.index_text(F.col("source"), F.array("lang"), F.substring("text", 1, 200), F.concat(F.lit("n"), F.col("n_chars").cast("string")), F.array(F.concat("source", F.lit("-x"))))
+    parts = T.index_text(F.col("source"), F.array("lang"), F.col("text"), F.concat(F.lit("n"), F.col("n_chars").cast("string")), F.array(F.concat("source", F.lit("-x"))))
     return _docs(s, d).select("doc_id", parts.alias("t"))
 
 
-@query("p9_embed_text", "select doc_id, array_to_string(list_filter([source, lang, text], lambda x: x is not null and x <> ''), chr(10)) t from documents where len(text) < 2000")
+@query("p9_embed_text", "select doc_id, array_to_string(list_filter([source, lang, text], lambda x: x is not null and x <> ''), chr(10)) t from documents")
 def p9(s, d):
-    return _docs(s, d).where(F.length("text") < 2000).select("doc_id", T.index_text(F.col("source"), F.array("lang"), F.col("text")).alias("t"))
+    return _docs(s, d).select("doc_id", T.index_text(F.col("source"), F.array("lang"), F.col("text")).alias("t"))
 
 
 @query("p11_snippet", """with c as (select doc_id, text, list_filter(list_transform(['zzzz', 'worthless', 'then', 'que', 'der'], lambda t: strpos(lower(text), t)), lambda p: p > 0)[1] - 1 pos from documents),
@@ -273,7 +273,7 @@ def x29(s, d):
 
 @query("x31_relative_path", r"select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') rel from pages")
 def x31(s, d):
-    return table(s, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+/", ""), "[?#].*$", "").alias("rel"))
+    return table(s, d, "pages").select("page_id", T.url_path(F.col("url")).alias("rel"))
 
 
 @query("x18_simhash")

@@ -17,16 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import BOILERPLATE
+from palimpsest.functions.text import CHROME
 
 # Where the content of a page stands, first match wins; elements that are dropped.
 ROOTS = ["#content-wrap", "#bodyContent", "main", "article"]
-DROP = {"script", "style", "nav", "footer", "noscript", "template"}
+DROP = {"script", "style", "nav", "footer", "noscript", "template", "svg", "button", "select", "option", "iframe"}
+DROP_IDS = {"sidebar", "header"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Open elements that a start tag ends, and elements beyond which it ends none.
 ENDS = dict.fromkeys("p ul ol table div section article main pre h1 h2 h3 h4 h5 h6 blockquote dl".split(), {"p"}) | {"li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 HOLD = {"ul", "ol", "table", "div", "section", "article", "main", "body", "blockquote"}
-_BOILER = re.compile("^(?:" + "|".join(BOILERPLATE) + ")$")
+_BOILER = re.compile("^(?:" + "|".join(f"(?:{p[4:]})" for p in CHROME) + ")$", re.I)
 
 
 class Node:
@@ -106,12 +107,16 @@ def content_root(root: Node) -> Node:
     return root
 
 
-def title_of(root: Node) -> str:
-    """The title element's text, else the first h1's."""
+def title_of(root: Node, prefix: str | None = None) -> str:
+    """The title element's text without the site's prefix (a pattern), else the first h1's."""
     for want in ("title", "h1"):
         for n in root.walk():
-            if n.name == want and n.inline():
-                return n.inline()
+            if n.name == want:
+                said = n.inline()
+                if want == "title" and prefix:
+                    said = re.sub(rf"\A(?:{prefix})", "", said, flags=re.I).strip()
+                if said:
+                    return said
     return ""
 
 
@@ -122,7 +127,7 @@ def _lines(node: Node, depth: int, out: list[str]) -> None:
                 out.append(" ".join(kid.split()))
             continue
         name = kid.name
-        if name in DROP or "breadcrumb" in " ".join(kid.classes()):
+        if name in DROP or kid.attrs.get("id") in DROP_IDS or "breadcrumb" in " ".join(kid.classes()):
             continue
         if "sig-block" in kid.classes() or name == "pre":
             out.append(f"```\n{kid.text().strip()}\n```")
@@ -173,15 +178,15 @@ def clean(page: str | None) -> str:
     return "\n".join(out)
 
 
-def extract(pages: DataFrame, key: str, html: str = "html", max_chars: int = 24000, least: int = 30) -> DataFrame:
+def extract(pages: DataFrame, key: str, html: str = "html", max_chars: int = 24000, least: int = 30, title_prefix: str | None = None) -> DataFrame:
     """(key, title, markdown, char_len) of pages with at least so many characters that aren't blank."""
     from palimpsest.sources.pages import cap
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "title": [title_of(parse(h or "")) for h in pdf[html]], "markdown": [render(h) for h in pdf[html]]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            said = [h if isinstance(h, str) else "" for h in column]
+            yield pd.DataFrame({"title": [title_of(parse(h), title_prefix) for h in said], "markdown": [render(h) for h in said]})
 
-    kind = dict(pages.dtypes)[key]
-    out = pages.select(key, html).mapInPandas(run, f"{key} {kind}, title string, markdown string")
+    out = pages.select(key, F.pandas_udf(run, "title string, markdown string")(html).alias("p")).select(key, "p.*")
     full = out.where(F.length(F.regexp_replace("markdown", r"\s", "")) >= least)
     return full.select(key, "title", cap(F.col("markdown"), max_chars).alias("markdown"), F.length("markdown").cast("long").alias("char_len"))
