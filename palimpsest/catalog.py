@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import ingest_queries, more_queries, search_queries, text_queries
+from palimpsest.plans import gold_queries, ingest_queries, more_queries, search_queries, text_queries
 
-_MODULES = [text_queries, search_queries, more_queries, ingest_queries]
+_MODULES = [text_queries, search_queries, more_queries, ingest_queries, gold_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

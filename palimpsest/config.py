@@ -1,9 +1,9 @@
-"""Settings from JSON files and defaults. The first file that has a value wins."""
+"""Settings from JSON files and defaults. The first file that has a value wins; lists are joined."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 
@@ -20,13 +20,18 @@ class Settings:
     fuzziness: int = 0
     per_file: int = 1
     rerank: bool = False
+    dirs: list[str] = field(default_factory=list)
+    providers: list[dict] = field(default_factory=list)
 
     @classmethod
     def load(cls, paths: list[str]) -> Settings:
         got: dict = {}
         for p in paths:
             for k, v in json.loads(Path(p).read_text()).items():
-                got.setdefault(k, v)
+                if isinstance(v, list):  # folders and providers of all files, in their order
+                    got[k] = [*got.get(k, []), *[x for x in v if x not in got.get(k, [])]]
+                else:
+                    got.setdefault(k, v)
         known = {f.name for f in fields(cls)}
         return cls(**{k: v for k, v in got.items() if k in known})
 

@@ -82,9 +82,14 @@ def displacement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     return both.select("qid", F.floor((F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))) / 2).cast("long").alias("displaced"))
 
 
-def coverage(indexed: DataFrame, pages: DataFrame, key: str) -> DataFrame:
-    """One row: pages, indexed pages, their share, and which engine to use."""
+def coverage(indexed: DataFrame, pages: DataFrame, key: str, prefer: str | None = None) -> DataFrame:
+    """One row: pages, indexed pages, their share, and which engine to use; prefer (new or legacy) decides if given."""
+    if prefer not in (None, "new", "legacy"):
+        raise ValueError(f"unknown engine {prefer!r}")
     n = pages.select(key).distinct().join(indexed.select(key).distinct().withColumn("in", F.lit(1)), key, "left")
     out = n.agg(F.count(F.lit(1)).alias("n_pages"), F.count("in").alias("n_indexed"))
     share = F.when(F.col("n_pages") > 0, F.col("n_indexed") / F.col("n_pages")).otherwise(0.0)
-    return out.withColumn("coverage", F.round(share, 6)).withColumn("engine", F.when(F.col("n_indexed") == 0, "nothing_built").when(F.col("coverage") >= 0.95, "new").otherwise("legacy"))
+    out = out.withColumn("coverage", F.round(share, 6))
+    if prefer:
+        return out.withColumn("engine", F.lit(prefer))
+    return out.withColumn("engine", F.when(F.col("n_indexed") == 0, "nothing_built").when(F.col("coverage") >= 0.95, "new").otherwise("legacy"))

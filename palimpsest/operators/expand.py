@@ -77,9 +77,9 @@ def fuzzy_terms(index: Index, tokens: DataFrame, fuzziness: int = 1, most: int =
     return scored.withColumn("r", rank).where(F.col("r") <= most).select("qtoken", "term", "distance")
 
 
-def delete_lookup(index: Index, tokens: DataFrame, longest: int = 8) -> DataFrame:
+def delete_lookup(index: Index, tokens: DataFrame) -> DataFrame:
     """(qtoken, term): terms that share a string with a token once up to one letter is left out of each."""
-    side = lambda df, c: df.where(F.length(c) <= longest).select(c, F.explode(T.deletes(F.col(c), 1)).alias("d"))
+    side = lambda df, c: df.select(c, F.explode(T.deletes(F.col(c), 1)).alias("d"))
     return side(tokens.select("qtoken").distinct(), "qtoken").join(side(index.terms.select("term"), "term"), "d").select("qtoken", "term").distinct()
 
 

@@ -54,6 +54,23 @@ def blend(first: DataFrame, second: DataFrame, alpha: float = 0.5) -> DataFrame:
     return ranked(both.select("qid", "doc_id", score.alias("score")))
 
 
+def rescored(first: DataFrame, second: DataFrame | None, sources: DataFrame, alpha: float = 0.7, cap: int | None = 1, k: int | None = None) -> DataFrame:
+    """The evaluation's fusion: hits are capped by source before the second scores are scaled, and no rank counts.
+
+    Without second scores, or with alpha 1 or more, the first list's order stays.
+    """
+    named = first.join(sources.select("doc_id", "source"), "doc_id")
+    kept = per_source(named, cap)
+    if second is not None and alpha < 1:
+        a = minmax(first, "a").select("qid", "doc_id", "a")
+        held = second.join(kept.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+        b = minmax(held, "b").select("qid", "doc_id", "b")
+        both = kept.select("qid", "doc_id").join(a, ["qid", "doc_id"]).join(b, ["qid", "doc_id"], "left")
+        kept = ranked(both.select("qid", "doc_id", F.round(F.col("a") * alpha + F.coalesce("b", F.lit(0.0)) * (1 - alpha), 9).alias("score")))
+    out = kept.select("qid", "doc_id", "score", "rank")
+    return out if k is None else out.where(F.col("rank") < k)
+
+
 def per_source(hits: DataFrame, cap: int | None = 1, by: str = "source") -> DataFrame:
     """The first cap hits of each source in each query, in the same order; 0 or None for all."""
     if not cap:

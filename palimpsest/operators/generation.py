@@ -26,10 +26,23 @@ Client = Callable[[str], str]
 
 
 def local_client(prompt: str) -> str:
-    """Splits the page after the last blank line of the prompt into its paragraphs."""
+    """Splits the page after the prompt's rule into its paragraphs, neighbours together where they are too many."""
     page = prompt.split("\n---\n", 1)[-1]
-    chunks = [{"heading_path": [], "text": p.strip(), "summary": "", "keywords": [], "synonyms": [], "qa": []} for p in page.split("\n\n") if p.strip()]
-    return json.dumps({"chunks": chunks[:MAX_CHUNKS]}, ensure_ascii=False)
+    paragraphs = [p.strip() for p in page.split("\n\n") if p.strip()]
+    each = max(1, -(-len(paragraphs) // MAX_CHUNKS))
+    texts = ["\n\n".join(paragraphs[i : i + each]) for i in range(0, len(paragraphs), each)]
+    chunks = [{"heading_path": [], "text": t, "summary": "", "keywords": [], "synonyms": [], "qa": []} for t in texts]
+    return json.dumps({"chunks": chunks}, ensure_ascii=False)
+
+
+def pooled(clients: Callable[[], dict[str, Client]], delays=(), **pool) -> Callable[[], Client]:
+    """What generate() takes: in each task a ProviderPool over the clients, each tried again after the delays."""
+
+    def make() -> Client:
+        tried = {n: (lambda prompt, c=c: with_retry(lambda: c(prompt), delays)) for n, c in clients().items()}
+        return ProviderPool(tried, **pool)
+
+    return make
 
 
 def _tight(s: str) -> str:
@@ -84,7 +97,10 @@ def generate(pages: DataFrame, make_client: Callable[[], Client] = lambda: local
         for pdf in batches:
             out = []
             for source, page in zip(pdf["source"], pdf["markdown"], strict=True):
-                answer, wrong, calls = generate_page(client, page)
+                try:
+                    answer, wrong, calls = generate_page(client, page)
+                except Exception as e:  # no provider answered: the page is chunked plainly and done again later
+                    answer, wrong, calls = None, [f"{type(e).__name__}: {e}"], 0
                 if wrong:
                     out.append((source, None, page, True, "; ".join(wrong), calls))
                 else:
@@ -96,10 +112,17 @@ def generate(pages: DataFrame, make_client: Callable[[], Client] = lambda: local
     return rows.where("not needs_regen").unionByName(plain).withColumn("chunk_uid", T.chunk_uid(F.col("source"), F.col("chunk_idx")))
 
 
-def heuristic(pages: DataFrame, text: Column | None = None) -> DataFrame:
-    """Chunks without a model, all flagged to be made anew."""
+FLAVOURS = ("packed", "paragraphs", "whole")
+
+
+def heuristic(pages: DataFrame, text: Column | None = None, flavour: str = "packed") -> DataFrame:
+    """Chunks without a model, all flagged to be made anew: packed paragraphs, each paragraph, or the whole page."""
     text = F.col("markdown") if text is None else text
-    out = pages.select("source", F.posexplode(T.pack_paragraphs(text)).alias("chunk_idx", "text"))
+    if flavour not in FLAVOURS:
+        raise ValueError(f"unknown flavour {flavour!r}, not one of {FLAVOURS}")
+    paragraphs = F.filter(F.transform(F.split(text, "\n{2,}"), T.strip), lambda p: p != "")
+    pieces = {"packed": T.pack_paragraphs(text), "paragraphs": paragraphs, "whole": F.filter(F.array(T.strip(text)), lambda p: p != "")}[flavour]
+    out = pages.select("source", F.posexplode(pieces).alias("chunk_idx", "text"))
     return out.withColumns({"needs_regen": F.lit(True), "chunk_uid": T.chunk_uid(F.col("source"), F.col("chunk_idx"))})
 
 

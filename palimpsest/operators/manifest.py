@@ -53,6 +53,13 @@ def drift(saved: dict, params: dict) -> list[str]:
     return [f"{k} was {old[k]!r} when the index was built and is {v!r} now" for k, v in sorted(params.items()) if k in old and old[k] != v]
 
 
+def misaligned(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(key, missing): vectors without a chunk and chunks without a vector, all of them and not a sample."""
+    v, c = vectors.select("key", F.lit(True).alias("v")), chunks.select("key", F.lit(True).alias("c"))
+    both = v.join(c, "key", "full_outer").where(F.col("v").isNull() | F.col("c").isNull())
+    return both.select("key", F.when(F.col("c").isNull(), "no chunk").otherwise("no vector").alias("missing"))
+
+
 def vector_errors(meta: dict | None, n_chunks: int) -> list[str]:
     """Why vectors can't be used: none, partly built, or not one for each chunk."""
     if meta is None:

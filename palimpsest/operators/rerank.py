@@ -12,15 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates of a query that are looked at.
-POOL = 200
-
 
 def mmr(cands: DataFrame, lam: float = 0.5, k: int = 10) -> DataFrame:
     """(qid, doc_id, place): maximal marginal relevance, from (qid, doc_id, score, tokens)."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "doc_id"], ascending=[False, True]).head(POOL).reset_index(drop=True)
+        pdf = pdf.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
         sets = [set(t) for t in pdf["tokens"]]
         near, left, order = np.zeros(len(pdf)), list(range(len(pdf))), []
         while left and len(order) < k:
@@ -39,7 +36,7 @@ def xquad(cands: DataFrame, lam: float = 0.5, k: int = 10) -> DataFrame:
     """(qid, doc_id, place): rewards aspects not covered yet, from (qid, doc_id, score, aspects)."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "doc_id"], ascending=[False, True]).head(POOL).reset_index(drop=True)
+        pdf = pdf.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
         sets = [set(a) for a in pdf["aspects"]]
         total, covered = max(1, len(set().union(*sets))), set()
         left, order = list(range(len(pdf))), []

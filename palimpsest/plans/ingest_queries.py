@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import udfs
 from palimpsest.operators import generation, vectors
 from palimpsest.plans.base import INDEX, table, with_
-from palimpsest.plans.text_queries import chunks
 from palimpsest.shared import new_path
-from palimpsest.sources import markdown, store
+from palimpsest.sources import markdown
 from palimpsest.streaming import ingest
 
 QUERIES: dict = {}
@@ -85,27 +84,6 @@ def t7(s, d):
     return table(s, d, "benchmark").select("item_id", udfs.nfkc("text").alias("t"))
 
 
-def _stored(s, d):
-    c = chunks(s, d)
-    none = F.array().cast("array<string>")
-    chunk = F.struct("chunk_uid", none.alias("heading_path"), "text", F.lit("").alias("summary"), none.alias("keywords"), none.alias("synonyms"), F.array().cast("array<struct<q:string,a:string>>").alias("qa"))
-    pages = c.groupBy(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source")).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", chunk.alias("c")))), lambda x: x.c).alias("chunks"))
-    pages = pages.select("source", F.lit("").alias("title"), F.md5("source").alias("html_md5"), F.lit("g").alias("gen_key"), F.lit("").alias("generated_at"), F.lit("v1").alias("schema_version"), F.lit(False).alias("needs_regen"), "chunks")
-    path = _scratch(s)
-    store.save(pages, path)
-    return store.load(s, path)[0]
-
-
-@query("s5_corpus_store")
-def s5(s, d):
-    return _stored(s, d).select("source", "html_md5", F.size("chunks").alias("n_chunks"))
-
-
-@query("s6_corpus_chunks")
-def s6(s, d):
-    return store.flatten(_stored(s, d)).select("source", "chunk_idx", "chunk_uid", "text")
-
-
 @query("s8_index_round_trip", with_(INDEX, "select term, df, cf from terms"))
 def s8(s, d):
     from palimpsest.operators.index import Index

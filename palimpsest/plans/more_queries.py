@@ -145,13 +145,6 @@ def u2(s, d):
     return now.select("rel").subtract(old.select("rel")).unionByName(now.select("rel").intersect(old.select("rel")))
 
 
-@query("u3_term_jaccard", with_(INDEX, "select q1.qid, round(count(q2.term) / (max(n1) + max(n2) - count(q2.term)), 6) v from (select qid, term, count(*) over (partition by qid) n1 from qt) q1 left join (select qid - 1 qid, term, count(*) over (partition by qid) n2 from qt) q2 on q1.qid = q2.qid and q1.term = q2.term group by q1.qid having count(q2.term) > 0"))
-def u3(s, d):
-    t = _terms_of(s, d).groupBy("qid").agg(F.collect_set("term").alias("x"))
-    nxt = t.select((F.col("qid") - 1).alias("qid"), F.col("x").alias("y"))
-    return t.join(nxt, "qid").select("qid", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("v")).where("v > 0")
-
-
 @query("p10_doc_tokens", with_(INDEX, "select doc_id, sum(tf)::bigint n_tokens, count(*) n_terms from tf group by doc_id"))
 def p10(s, d):
     docs = table(s, d, "documents").select("doc_id", "source", "text")

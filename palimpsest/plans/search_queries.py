@@ -11,7 +11,6 @@ from palimpsest.functions import reports, udfs
 from palimpsest.functions import text as T
 from palimpsest.operators import evaluation, expand, fusion, incremental, lsh, manifest, positions, rerank, search
 from palimpsest.plans.base import BM25, INDEX, bench_queries, bm25_hits, doc_index, once, table, with_
-from palimpsest.plans.text_queries import chunks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -217,12 +216,6 @@ def r16(s, d):
     return search.mentions(table(s, d, "documents"), "The", 1000, 20, ("src1",), ignore_case=False)
 
 
-@query("r17_choose_engine", "with p as (select count(distinct doc_id) n_pages, count(distinct case when doc_id % 20 <> 0 then doc_id end) n_indexed from documents) select n_pages, n_indexed, round(n_indexed / n_pages, 6) coverage, case when n_indexed = 0 then 'nothing_built' when round(n_indexed / n_pages, 6) >= 0.95 then 'new' else 'legacy' end engine from p")
-def r17(s, d):
-    docs = table(s, d, "documents")
-    return evaluation.coverage(docs.where("doc_id % 20 <> 0"), docs, "doc_id")
-
-
 @query("r21_alignment_guard", "select vec_id from embeddings where vec_id not in (select doc_id from documents where doc_id % 2 = 0)")
 def r21(s, d):
     docs = table(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id"))
@@ -352,28 +345,11 @@ def v1(s, d):
     return _results(s, d)
 
 
-@query("v2_gold_union", "select item_id qid, 'base' as set_name from benchmark where item_id % 2 = 0 union all select item_id, 'ext' from benchmark where item_id % 2 = 1")
-def v2(s, d):
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("qid"))
-    return b.where("qid % 2 = 0").withColumn("set_name", F.lit("base")).unionByName(b.where("qid % 2 = 1").withColumn("set_name", F.lit("ext")))
-
-
-@query("v3_prefix_dedupe", "select qid, prefix from (select item_id qid, array_to_string(string_split(lower(text), ' ')[1:2], ' ') prefix, row_number() over (partition by array_to_string(string_split(lower(text), ' ')[1:2], ' ') order by item_id) r from benchmark) where r = 1")
-def v3(s, d):
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 2), " ").alias("prefix"))
-    return b.groupBy("prefix").agg(F.min("qid").alias("qid"))
-
-
 @query("v6_gate", with_(_EVAL + ", e as (select arm, avg(coalesce(1.0 / (r + 1), 0)) mrr, avg(case when r < 10 then 1.0 else 0 end) hit from al group by arm)", "select arm, case when round(mrr, 6) >= 0.3 and round(hit, 6) >= 0.4 then 'PASS' else 'FAIL' end verdict from e"))
 def v6(s, d):
     return evaluation.gate(_results(s, d), F.lit(1.0), 0.3, 0.4).select("arm", "verdict")
 
 
-@query("v7_vector_alignment", "select e.vec_id from embeddings e left join documents d on d.doc_id = e.vec_id where d.doc_id is null")
-def v7(s, d):
-    return table(s, d, "embeddings").join(table(s, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti").select("vec_id")
-
-
 @query("a14_displacement", with_(BM25 + _OTHER + ", a as (select qid, list(doc_id) x from bm25 where rank < 10 group by 1), b as (select qid, list(doc_id) y from oth where rank < 10 group by 1)", "select qid, ((len(coalesce(x, [])) + len(coalesce(y, [])) - 2 * len(list_intersect(coalesce(x, []), coalesce(y, [])))) // 2)::bigint displaced from a full join b using (qid)"))
 def a14(s, d):
     return evaluation.displacement(bm25_hits(s, d), _other(s, d))
@@ -386,11 +362,6 @@ def x25(s, d):
     return out.select("qid", F.round("dcg", 6).alias("dcg"), F.round("ndcg", 6).alias("ndcg"))
 
 
-@query("a12_run_totals", "select count(*) pages, count(*) filter (n_chars < 500) small, count(*) filter (text like '%|%') tables, sum(n_chars)::bigint chars from documents")
-def a12(s, d):
-    return table(s, d, "documents").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("n_chars") < 500).alias("small"), F.count_if(F.contains("text", F.lit("|"))).alias("tables"), F.sum("n_chars").alias("chars"))
-
-
 @query("a13_token_estimate", "select source, sum(floor(n_chars / 3.07 + 16))::bigint tokens_in, round(sum(floor(n_chars / 3.07 + 16)) * 2.04, 2) tokens_out from documents group by source")
 def a13(s, d):
     g = table(s, d, "documents").groupBy("source").agg(F.sum(reports.token_estimate(F.col("n_chars"))).alias("tokens_in"))
@@ -415,11 +386,6 @@ def a8(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.array_join(ids, ",").alias("ids"))
 
 
-@query("a16_corpus_quality", "select lang, round(avg(n_chars), 4) avg_chars, count(*) filter (n_chars > 8000) too_long, round(avg(case when text like '%' || chr(10) || '%' then 1.0 else 0 end), 6) multi from documents group by lang")
-def a16(s, d):
-    return table(s, d, "documents").groupBy("lang").agg(F.round(F.avg("n_chars"), 4).alias("avg_chars"), F.count_if(F.col("n_chars") > 8000).alias("too_long"), F.round(F.avg(F.when(F.contains("text", F.lit("\n")), 1.0).otherwise(0.0)), 6).alias("multi"))
-
-
 # --- incremental: a snapshot of the documents, and an older one without some and with others changed
 
 _NOW = "nw as (select doc_id::varchar rel, md5(text) md5 from documents where doc_id % 11 <> 3), od as (select doc_id::varchar rel, case when doc_id % 7 = 2 then md5(text || '!') else md5(text) end md5 from documents where doc_id % 13 <> 5), df as (select rel, case when od.md5 is null then 'added' when nw.md5 is null then 'removed' when nw.md5 <> od.md5 then 'changed' else 'unchanged' end status from nw full join od using (rel)), st as (select doc_id::varchar rel from documents where doc_id % 17 <> 1)"
@@ -469,11 +435,6 @@ def s12(s, d):
     return manifest.of_chunks(table(s, d, "documents"), "doc_id").select("n_chunks", "n_pages", "sha")
 
 
-@query("s16_flatten")
-def s16(s, d):
-    return chunks(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_pages"))
-
-
 # --- fuzzy matching, near-duplicates and learned ranking
 
 
@@ -484,11 +445,6 @@ def j11(s, d):
     return tokens.distinct().join(near, "qtoken").select("qid", "qtoken", "term")
 
 
-@query("j12_delete_lookup")
-def j12(s, d):
-    return expand.delete_lookup(doc_index(s, d), search.query_tokens(bench_queries(s, d)))
-
-
 @query("r4_fuzzy_search")
 def r4(s, d):
     i, q = doc_index(s, d), bench_queries(s, d)
@@ -571,7 +527,7 @@ def e3(s, d):
 
 @query("e4_xquad")
 def e4(s, d):
-    c = _pool(s, d).select("qid", "doc_id", "score", F.array("source").alias("aspects"))
+    c = _pool(s, d).join(bench_queries(s, d), "qid").select("qid", "doc_id", "score", F.array_intersect(F.array_distinct(T.tokenize(F.col("text"))), T.query_terms(F.col("query"))).alias("aspects"))
     return rerank.xquad(c)
 
 

@@ -185,22 +185,11 @@ def f6(s, d):
     return _docs(s, d).select("doc_id", F.contains(T.norm_verbatim(F.col("text")), T.norm_verbatim(F.substring("text", 11, 50))).alias("ok"))
 
 
-@query("f7_chunk_validation", "select doc_id, trim(text) <> '' as non_empty, len(text) <= 3200 as fits, array_to_string(string_split(text, ' ')[1:3], ' ') first_three from documents")
-def f7(s, d):
-    return _docs(s, d).select("doc_id", (T.strip(_text()) != "").alias("non_empty"), (F.length("text") <= 3200).alias("fits"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("first_three"))
-
-
 @query("f8_tiny_filter", "select doc_id from documents where len(trim(text)) >= 50")
 def f8(s, d):
     return _docs(s, d).where(F.length(F.trim("text")) >= 50).select("doc_id")
 
 
-@query("f9_gold_candidates", "select conv_id, turn, text from conversations where len(text) between 25 and 139 and text like '%?' and not regexp_matches(lower(text), '(this page|the text|according to)')")
-def f9(s, d):
-    c = table(s, d, "conversations")
-    return c.where(F.length("text").between(25, 139) & F.col("text").endswith("?") & ~F.lower("text").rlike("(this page|the text|according to)")).select("conv_id", "turn", "text")
-
-
 # --- scalar functions
 
 _PAIRS = "pr as (select a.item_id a_id, b.item_id b_id, lower(string_split(a.text, ' ')[1]) a, lower(string_split(b.text, ' ')[2]) b from benchmark a join benchmark b on b.item_id between a.item_id and a.item_id + 5)"

@@ -7,14 +7,15 @@ GET /health; POST /search {"query", "k"}, /mentions {"term", "limit", "context"}
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+import threading
+from collections.abc import Callable, Iterable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import search
+from palimpsest.operators import positions, search
 from palimpsest.operators.index import Index
 
 
@@ -34,11 +35,11 @@ class Service:
         return {"term": term, "sources": [{"source": r.source, "count": r["count"], **({"context": r.context} if context else {})} for r in rows]}
 
     def read(self, source: str, max_chars: int = 24000) -> dict:
-        rows = self.index.docs.where(F.col("source") == source).orderBy("doc_id").select("text").limit(1000).collect()
-        if not rows:
+        wanted = self.spark.createDataFrame([(source,)], "source string")
+        page = positions.read_pages(self.index.docs.where(F.col("source") == source), wanted, max_chars).first()
+        if page.missing:
             return {"source": source, "error": "no such page"}
-        text = "\n\n".join(r.text for r in rows)
-        return {"source": source, "text": text[:max_chars], "truncated": len(text) > max_chars}
+        return {"source": source, "text": page.body[:max_chars], "truncated": len(page.body) > max_chars}
 
     def answer(self, request: dict) -> dict:
         """One request of a stream: {"query"}, {"mentions"} or {"read"}."""
@@ -62,8 +63,32 @@ def answer_lines(service: Service, lines: Iterable[str]) -> Iterator[str]:
             yield json.dumps(out, ensure_ascii=False)
 
 
-def make_server(service: Service, port: int = 0) -> ThreadingHTTPServer:
-    calls = {"/search": service.search, "/mentions": service.mentions, "/read": service.read}
+class Loading:
+    """A service that isn't ready until load(), in a thread of its own, is done."""
+
+    def __init__(self, load: Callable[[], Service]):
+        self.service: Service | None = None
+        self.failed: str | None = None
+        self._thread = threading.Thread(target=self._run, args=(load,), daemon=True)
+        self._thread.start()
+
+    def _run(self, load: Callable[[], Service]) -> None:
+        try:
+            self.service = load()
+        except Exception as e:
+            self.failed = f"{type(e).__name__}: {e}"
+
+    def wait(self, seconds: float | None = None) -> None:
+        self._thread.join(seconds)
+
+
+def make_server(service: Service | Loading, port: int = 0) -> ThreadingHTTPServer:
+    """A server; while its service is loading, requests get 503."""
+    loading = service if isinstance(service, Loading) else None
+    names = {"/search": "search", "/mentions": "mentions", "/read": "read"}
+
+    def ready() -> Service | None:
+        return loading.service if loading else service
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, body: dict) -> None:
@@ -75,14 +100,20 @@ def make_server(service: Service, port: int = 0) -> ThreadingHTTPServer:
             self.wfile.write(data)
 
         def do_GET(self) -> None:
-            self._send(*((200, {"status": "ok"}) if self.path == "/health" else (404, {"error": "no such path"})))
+            if self.path != "/health":
+                return self._send(404, {"error": "no such path"})
+            if ready():
+                return self._send(200, {"status": "ok"})
+            self._send(503, {"status": "failed", "error": loading.failed} if loading.failed else {"status": "loading"})
 
         def do_POST(self) -> None:
-            if self.path not in calls:
+            if self.path not in names:
                 return self._send(404, {"error": "no such path"})
+            if not ready():
+                return self._send(503, {"error": loading.failed or "the index is loading"})
             try:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))
-                out = calls[self.path](**body)
+                out = getattr(ready(), names[self.path])(**body)
             except (ValueError, TypeError) as e:
                 return self._send(400, {"error": str(e)})
             except Exception as e:

@@ -127,7 +127,7 @@ def _lines(node: Node, depth: int, out: list[str]) -> None:
                 out.append(" ".join(kid.split()))
             continue
         name = kid.name
-        if name in DROP or kid.attrs.get("id") in DROP_IDS or "breadcrumb" in " ".join(kid.classes()):
+        if name in DROP or name in ("head", "title") or kid.attrs.get("id") in DROP_IDS or "breadcrumb" in " ".join(kid.classes()):
             continue
         if "sig-block" in kid.classes() or name == "pre":
             out.append(f"```\n{kid.text().strip()}\n```")

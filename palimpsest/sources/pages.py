@@ -26,3 +26,18 @@ def cap(text: Column, most: int = 24000) -> Column:
     n = F.length(text)
     note = F.concat(F.lit("\n[... page truncated: "), (n - most).cast("string"), F.lit(" more chars not shown ...]"))
     return F.when(n > most, F.concat(F.substring(text, 1, most), note)).otherwise(text)
+
+
+def load_chunks(spark: SparkSession, paths: list[str], max_files: int | None = None, least: int = 50, most: int = 800, overlap: int = 120) -> DataFrame:
+    """(source, chunk_idx, text) of HTML folders without a compile run: plain text of pages, packed.
+
+    Pages of fewer than so many characters are left out; max_files takes the first by path.
+    """
+    from palimpsest.functions import text as T
+    from palimpsest.sources import markdown
+
+    found = scan(spark, paths)
+    found = found if max_files is None else found.orderBy("rel").limit(max_files)
+    clean = F.pandas_udf(lambda x: x.map(markdown.clean), "string")
+    rows = found.select(F.col("rel").alias("source"), clean("html").alias("text")).where(F.length("text") >= least)
+    return rows.select("source", F.posexplode(T.pack_paragraphs(F.col("text"), most, overlap)).alias("chunk_idx", "text"))

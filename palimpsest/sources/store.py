@@ -13,6 +13,26 @@ def save(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
     pages.write.mode(mode).json(path)
 
 
+def replace(pages: DataFrame, path: str) -> None:
+    """Put pages in the place of those of the same source, all at once.
+
+    The new corpus is written beside the old one and takes its name when it is whole.
+    """
+    spark = pages.sparkSession
+    jvm = spark.sparkContext._jvm
+    there, fresh, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{x}") for x in ("", "-next", "-old"))
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(there):
+        kept = spark.read.schema(PAGE).json(path).join(pages.select("source"), "source", "left_anti")
+        pages = kept.select(pages.columns).unionByName(pages)
+    save(pages, fresh.toString())
+    fs.delete(old, True)
+    if fs.exists(there):
+        fs.rename(there, old)
+    fs.rename(fresh, there)
+    fs.delete(old, True)
+
+
 def load(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pages, corrupt): rows of PAGE in the order of their source, and the records that aren't any."""
     raw = spark.read.schema(f"{PAGE}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multiline).json(path).cache()
