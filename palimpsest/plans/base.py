@@ -23,6 +23,14 @@ def once(spark: SparkSession, sf: str, what: str, make):
     return _kept[key]
 
 
+def forget(keep: tuple[str, ...] = ()) -> None:
+    """Drop cached values but those of the names to keep."""
+    for key in [k for k in _kept if k[2] not in keep]:
+        value = _kept.pop(key)
+        if isinstance(value, DataFrame):
+            value.unpersist()
+
+
 def doc_index(spark: SparkSession, sf: str) -> index.Index:
     docs = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     return once(spark, sf, "index", lambda: index.build(docs).cache())
