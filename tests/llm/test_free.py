@@ -1,11 +1,13 @@
 """Language ID, quality, HTML and near-duplicates: brute force, held-out accuracy, hard cases."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from palimpsest.llm import html_extract, langid, omh, quality, vec
+from palimpsest.llm import html_extract, langid, omh, quality, suffix_dedup, vec
 from tests.llm.test_native import DOCS, LOWER, WORD, frame, odd
 
 # --- HTML
@@ -24,6 +26,28 @@ def test_html_two_passes_without_an_article():
     assert html_extract.extract(page).split("\n") == [f"{stop} {stop}", "Short one.", f"{stop} {stop}"]
 
 
+def test_html_keeps_headings_formulas_and_related_work():
+    page = """<div class="site-header">S</div><article><header><h1>Title</h1><p>by A, 3 min</p></header><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>
+    <div class="related-work"><p>Others did so.</p></div><div class="related-posts"><p>More</p></div><div id="ad-slot"><p>buy</p></div></article>"""
+    assert html_extract.extract(page) == "Title\nLet x=1 be.\nOthers did so."
+
+
+def test_html_without_an_article_in_another_language():
+    text = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. E quanto a dir qual era è cosa dura, e la via si fa più aspra e forte, che nel pensier rinova la paura di chi va e non sa se il dì verrà a lui o no. "
+    page = f"<div class=top><a href=/>Home</a> <a href=/x>Altro</a></div><div><p>{text * 2}</p><p>Breve.</p><p>{text}</p></div><div><a href=/y>Altre pagine del sito con molti collegamenti</a></div>"
+    assert html_extract.extract(page).split("\n") == [(text * 2).strip(), "Breve.", text.strip()]
+    chinese = "中文网页的正文没有空格,因此不能用停用词来判断。" * 12
+    assert html_extract.extract(f"<div><a href=/>首页</a></div><div>{chinese}</div>") == chinese
+
+
+def test_html_deep_and_long_pages():
+    began = time.time()
+    assert html_extract.extract("<div>" * 20000 + "</b>" * 20000 + "</i></span>" * 20000) == ""
+    long = "<article>" + "".join(f"<p>Paragraph {i} of a very long page.</p>" for i in range(20000)) + "</article>"
+    assert html_extract.extract(long).count("\n") == 19999
+    assert time.time() - began < 20
+
+
 def test_html_hard_cases(spark):
     assert [html_extract.extract(x) for x in (None, "", "<", "<article>a<!-- b", "<article>x</article", "<article>a < b &lt; c</article>", "<main>" + "<div>" * 3000 + "deep")] == ["", "", "", "a", "x</article", "a < b < c", "deep"]
     pages = spark.createDataFrame([(1, None, None, 1), (None, "u", "<article>x</article>", 2), (None, "u", "<article>x</article>", 2)], "page_id long, url string, html string, text int")
@@ -175,3 +199,139 @@ def test_blocks_hash_equal_words_alike():
     h, own = vec.word_hashes(b)
     assert own.tolist() == [0, 0, 0, 1, 3, 3, 3, 5] and h[:3].tolist() == h[4:7].tolist() and h[2] == h[7]
     assert DOCS.startswith("doc_id")
+
+
+BIG = 9007199254740993  # not a double
+
+
+def test_large_ids_beside_null_ids(spark):
+    docs = spark.createDataFrame([(BIG, "first text with some words of its own", "en", "s", None), (None, "another text that is quite different here", "en", "s", None), (BIG + 2, "a third one of which nobody has seen a copy", "en", "s", None)], DOCS)
+    want = {BIG, None, BIG + 2}
+    labels = spark.createDataFrame([(BIG, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in omh.report(docs).collect()} == want and omh.deduplicate(docs).count() == 3
+    assert {r.class_id for r in omh.report(docs).collect()} == want
+    assert {r.doc_id for r in langid.report(docs).collect()} == want
+    assert {r.doc_id for r in quality.classify(docs, labels).collect()} == want
+    assert {r.doc_id for r in suffix_dedup.report(docs).collect()} == want
+    pages = spark.createDataFrame([(BIG, "u", "<article>x</article>"), (None, "u", None)], "page_id long, url string, html string")
+    assert {r.page_id for r in html_extract.extract_pages(pages).collect()} == {BIG, None}
+
+
+def test_texts_that_sums_of_words_confuse_are_kept_apart(spark):
+    row = [0]
+    while len(row) < 1024:
+        row += [1 - x for x in row]
+    texts = [" ".join("ab"[x] for x in row), " ".join("ab"[1 - x] for x in row), "x"]
+    got = {r.doc_id: r for r in omh.report(frame(spark, texts)).collect()}
+    assert [got[i].class_id for i in range(3)] == list(brute_ordered(texts).values()) and len(omh.deduplicate(frame(spark, texts)).collect()) == len({r.class_id for r in got.values()})
+
+
+def brute_ordered(texts):
+    """Classes by longest common subsequences of k-mers."""
+    seqs = [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] or [tuple(w)] for w in (WORD.findall(t.translate(LOWER)) for t in texts)]
+    out = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            row = [0] * (len(seqs[j]) + 1)
+            for x in seqs[i]:
+                new = [0]
+                for k, y in enumerate(seqs[j]):
+                    new.append(row[k] + 1 if x == y else max(new[-1], row[k + 1]))
+                row = new
+            c = row[-1]
+            if c >= 0.8 * (len(seqs[i]) + len(seqs[j]) - c):
+                out = {k: min(out[i], out[j]) if v in (out[i], out[j]) else v for k, v in out.items()}
+    return out
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """Variants of one text below and above the threshold, and reordered ones."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    texts = []
+    for i in range(150):
+        t = list(base)
+        for at in rng.choice(120, rng.integers(1, 9), replace=False):
+            t[at] = f"v{i}x{at}" if rng.random() < 0.7 else "same"
+        cut = rng.integers(0, 40) if i % 5 == 0 else 0
+        texts.append(" ".join(t[cut:]))
+    texts += [" ".join(base[60:] + base[:60]), " ".join(base[62:] + base[:62]), " ".join(base)]
+    got = {r.doc_id: r.class_id for r in omh.report(frame(spark, texts)).collect()}
+    assert got == brute_ordered(texts)
+
+
+def test_quality_with_columns_named_like_its_own(spark):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = odd(spark)
+    for name in ("add_quality", "site_quality", "add_toxic", "site_toxic", "host", "own", "quality", "p_doc"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = quality.classify(docs, labels)
+    assert out.count() == 8 and out.columns[: len(docs.columns)] == docs.columns and out.first()["add_quality"] == "add_quality"
+
+
+def test_langid_equals_a_plain_decoder(spark, sf):
+    """Features, margins, losses and flags worked out text by text from the fitted weights."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    d = langid.learn(docs.where(~fold))
+    half = langid.DIM // 2
+
+    def features(text):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        letter = [97 <= c <= 122 or c >= 128 for c in low]
+        kept = [c if letter[k] else 32 for k, c in enumerate(low) if letter[k] or k == 0 or letter[k - 1]] + [32]
+        x = np.zeros(langid.DIM)
+        for a, b in zip(kept, kept[1:], strict=False):
+            x[((a * 257 + b) * 40503 >> 4) % half] += 1
+        for a, b, c in zip(kept, kept[1:], kept[2:], strict=False):
+            x[half + (((a * 257 + b) * 263 + c) * 2654435761 >> 13) % half] += 1
+        return np.sqrt(x / max(1, x.sum()))
+
+    got = {r.doc_id: r for r in langid.report(docs).collect()}
+    for r in docs.where("length(text) between 1 and 800").limit(60).collect():
+        if not any(c.isalpha() for c in r.text):
+            continue
+        alone = langid.features([r.text.encode()])[0]
+        assert np.allclose(alone, features(r.text), atol=1e-6)
+        m = 2.5 * (features(r.text) @ d.weights + d.bias)
+        loss = [sum(t * np.log1p(np.exp(-x * c)) for x, c, t in zip(m, word, d.trust, strict=True)) for word in d.code]
+        best = int(np.argmin(loss))
+        odds = [np.exp(-6 * (x - loss[best])) for x in loss]
+        assert got[r.doc_id].lang_pred == d.langs[best] and abs(got[r.doc_id].score - 1 / sum(odds)) < 1e-3
+
+
+def test_quality_posteriors_equal_brute_force(spark, sf):
+    """Site rates, prior strengths and final odds, from the documents' own evidence."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    models = quality.fit(docs, labels)
+    z = docs.select("doc_id", "source", "lang", quality.scored(F.col("text"), models, list(quality.HEADS)).alias("z")).select("doc_id", "source", "lang", "z.*").collect()
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    final = {}
+    for head, name in (("quality", "p_quality"), ("toxic", "p_toxic")):
+        p = {r.doc_id: sig(r[head]) for r in z}
+        by = lambda key: {k: [p[r.doc_id] for r in z if key(r) == k] for k in {key(r) for r in z}}  # noqa: E731, B023
+        hosts, paths = by(lambda r: r.source), by(lambda r: (r.source, r.lang))
+        mu = np.mean(list(p.values()))
+        ss = sum(len(v) * (np.mean(v) - mu) ** 2 for v in hosts.values())
+        spread = max(1e-9, (ss - (len(hosts) - 1) * mu * (1 - mu)) / len(p))
+        strength = min(1e4, max(1.0, mu * (1 - mu) / spread - 1))
+        for r in z:
+            h, q = hosts[r.source], paths[(r.source, r.lang)]
+            host = (sum(h) + strength * mu) / (len(h) + strength)
+            rate = (sum(q) + strength * host) / (len(q) + strength)
+            want = sig(r[head] + np.log(rate / (1 - rate)) - np.log(mu / (1 - mu)))
+            assert abs(got[r.doc_id][name] - want) < 1e-6
+            final.setdefault(r.doc_id, []).append(want)
+    assert all(got[i].kept == (q >= 0.5 and t < 0.5) for i, (q, t) in final.items() if abs(q - 0.5) > 1e-6 and abs(t - 0.5) > 1e-6)
+
+
+def test_quality_models_are_the_same_however_rows_are_dealt(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = quality.fit(docs, labels), quality.fit(docs.repartition(7).orderBy(F.desc("doc_id")), labels.repartition(3))
+    for x, y in zip(a, b, strict=True):
+        assert (x.known == y.known).all() and np.allclose(x.word_w, y.word_w) and abs(x.bias - y.bias) < 1e-9
+    two = spark.createDataFrame([(1, "one text of it", "en", "s", None), (1, "another and much longer text of it", "en", "s", None)], DOCS)
+    assert quality.classify(two, labels).count() == 2
+    few = quality.fit(docs, labels, sample_bytes=1)
+    assert len(few) == 2  # nothing fits in one byte: base rates

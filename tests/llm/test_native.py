@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontam, exact_dedup, license_scan, mixing, pii, queries
 
@@ -39,6 +40,26 @@ def test_exact_dedup_index_persists_across_batches(spark):
     second = exact_dedup.deduplicate(frame(spark, ["b ", "c", "c "]), index).collect()
     assert [r.text for r in second] == ["c "]
     assert spark.table(index.table).count() == 3
+    assert {r.group_size for r in index.groups().collect()} == {2}
+    # A session that doesn't know the tables finds them by their path.
+    spark.sql(f"DROP TABLE {index.table}")
+    spark.sql(f"DROP TABLE {index.copies}")
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.buckets == 4 and spark.table(again.table).count() == 3
+    assert [r.text for r in exact_dedup.deduplicate(frame(spark, ["a", "d", "c"]), again).collect()] == ["d"]
+    assert sum(r.group_size for r in again.groups().collect()) == 9
+    again.drop()
+    assert not again.exists()
+
+
+def test_exact_dedup_batches_agree_with_one_pass(spark):
+    texts = [("x " * (i % 7) + "y" * (i % 5)) for i in range(300)]
+    got = exact_dedup.assign(frame(spark, texts)).collect()
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t.replace(" ", "")].append((-len(t), i))
+    want = {i: (min(g)[1], len(g), min(g)[1] == i) for g in groups.values() for _, i in g}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want
 
 
 def test_exact_dedup_of_odd_rows(spark):
@@ -80,6 +101,14 @@ def test_license_notice_survives_a_dropped_word(spark):
     assert license_scan.scan(frame(spark, [text])).first().labels == "mit-notice"
 
 
+def test_license_notice_of_doubled_words_is_none(spark):
+    notice = dict(license_scan.NOTICES)["bsd-notice"]
+    doubled = " ".join(f"{w} {w}" for w in notice.split())
+    apart = " ".join(f"{w} x" if i % 2 else w for i, w in enumerate(notice.split()))
+    got = {r.doc_id: r.labels for r in license_scan.scan(frame(spark, [notice, doubled, apart])).collect()}
+    assert got == {0: "bsd-notice", 1: "", 2: ""}
+
+
 def test_license_labels_differ_by_version_and_qualifier(spark):
     want = {
         "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
@@ -141,6 +170,25 @@ def test_decontamination_finds_copies_whose_names_look_otherwise(spark):
     assert [got[i] for i in range(8)] == [True] * 6 + [False] * 2
 
 
+def test_decontamination_checks_slots_over_all_diagonals(spark):
+    text = "A train leaves at 5 hours and drives 60 km with 5 stops before it turns back home to the small old town by the sea where all the people of the valley wait for it"
+    names = "the painter Maria Lopez bought 3.5 pounds of blue paint from the old shop near the harbour"
+    numbers = " ".join(str(x) for x in range(200))
+    bench = spark.createDataFrame([(1, text), (2, names), (3, numbers)], "item_id long, text string")
+    docs = {
+        text.replace("5 hours", "9 hours").replace("drives", "then drives").replace("5 stops", "9 stops"): True,
+        text.replace("5 hours", "9 hours").replace("drives", "then drives").replace("5 stops", "7 stops"): False,
+        names.replace("3.5", "12").replace("Maria Lopez", "Peter"): True,
+        names.replace("3.5", "12").replace("Maria Lopez", "Anna Maria Smith"): True,
+        " ".join(str(x * 7) for x in range(3000)): False,
+        "some days, some feet and some seconds are not units here": False,
+        # The windows of the item, far apart.
+        " ".join(" ".join(text.split()[i : i + 5]) + " x" * 50 for i in range(12)): False,
+    }
+    got = {r.doc_id: r.contaminated for r in decontam.report(frame(spark, list(docs)), bench).collect()}
+    assert [got[i] for i in range(len(docs))] == list(docs.values())
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     bench, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("benchmark", "documents"))
     items = {r.item_id: WORD.findall(r.text.lower()) for r in bench.collect()}
@@ -219,6 +267,27 @@ def test_pii_terms_are_marked_wherever_they_stand(spark):
     assert rows[9].spans == ""
 
 
+def test_pii_texts_are_sanitised(spark):
+    texts = ["Zarquon! The plumber Zarquon writes from joe@x.org (10.0.0.1) about pipes"] * 3 + [f"the plumber was here and writes from there about pipes {i}" for i in range(60)]
+    texts += [" ".join(f"a{i}@b{i}.org" for i in range(500)), "call +1 555 123 4567.", None, "", "4111 1111 1111 1111, +4111 1111 1111 1111!"]
+    docs = frame(spark, texts).withColumnRenamed("n_chars", "clean_key")
+    got = pii.sanitised(docs)
+    assert got.columns == docs.columns
+    text = {r.doc_id: r.text for r in got.collect()}
+    assert text[0] == text[1] == "! The plumber  writes from <email> (<ip>) about pipes"
+    assert text[5] == texts[5] and text[63] == " ".join(["<email>"] * 500) and text[64] == "call <phone>."
+    # A card that also is a phone number is covered whole.
+    assert text[65] is None and text[66] == "" and not re.search("[0-9]", text[67])
+    kept = {r.doc_id: r.text for r in pii.sanitised(docs, remove=1.1).collect()}
+    assert kept[0] == "<term>! The plumber <term> writes from <email> (<ip>) about pipes"
+
+
+def test_pii_is_linear_in_the_matches(spark):
+    text = " ".join(f"a{i}@b{i}.org" for i in range(20000))
+    r = pii.report(frame(spark, [text])).first()
+    assert r.n_email == 20000 and r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_pii(text)).encode()).hexdigest()
+
+
 def test_pii_weighs_shorter_terms_if_told(spark):
     texts = ["Ann: joe@x.org about pipes"] * 3 + [f"about pipes {i}" for i in range(60)]
     marked = lambda **p: "term:0:3" in pii.report(frame(spark, texts), **p).where("doc_id = 0").first().spans
@@ -245,18 +314,18 @@ def brute_share(budget, nodes):
     return got
 
 
-def brute_mix(rows, fraction, epochs, seed):
+def brute_mix(rows, fraction, epochs, seed, targets=None, domain=lambda s: None if s is None else re.sub("[0-9]+$", "", s)):
     leaves = defaultdict(list)
     for r in rows:
-        dom = None if r.source is None else re.sub("[0-9]+$", "", r.source)
-        leaves[(dom, r.lang, r.source)].append((r.doc_id, len(re.findall(r"[^ \t\n\r\f]+", r.text or ""))))
+        leaves[(domain(r.source), r.lang, r.source)].append((r.doc_id, len(re.findall(r"[^ \t\n\r\f]+", r.text or ""))))
     n = {k: sum(t for _, t in v) for k, v in leaves.items()}
     cap = lambda pre: sum(epochs * n[k] for k in n if k[: len(pre)] == pre)
     shares = {(): fraction * sum(n.values())}
     for depth in range(3):
         for p in [p for p in shares if len(p) == depth]:
             kids = {k[: depth + 1] for k in n if k[:depth] == p}
-            shares |= brute_share(shares[p], {c: (1.0, cap(c)) for c in kids})
+            of = (targets or {}).get(mixing.LEVELS[depth], {})
+            shares |= brute_share(shares[p], {c: (of.get(c[-1], 1.0), cap(c)) for c in kids})
     out = {}
     for k, docs in leaves.items():
         b = round(shares[k], 6)
@@ -288,6 +357,27 @@ def test_mixing_equals_brute_force(spark, sf, fraction, epochs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_to_the_targets_of_the_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+
+    def domain(source):
+        number = int(m[0]) if source and (m := re.search("[0-9]+$", source)) else None
+        return "other" if number is None else "bulk" if number == 0 else "web" if number < 10 else "reference"
+
+    for d in (docs, odd(spark)):
+        want = brute_mix(d.collect(), mixing.FRACTION, mixing.EPOCHS, mixing.SEED, mixing.TARGETS, domain)
+        got = mixing.mix(d, targets=mixing.TARGETS, domain=mixing.numbered_domain(F.col("source"))).collect()
+        assert {((domain(r.source), r.lang, r.source), r.doc_id): r.epochs for r in got} == want
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"planet": {}})
+
+
+def test_mixing_leaves_without_a_weight_get_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "a1", None), (2, "c d", "en", None, None), (3, "e f", "en", "a2", None)], DOCS)
+    weights = spark.createDataFrame([("a", "en", "a1", 1.0)], "domain string, lang string, source string, weight double")
+    assert [r.doc_id for r in mixing.mix(docs, weights, fraction=2.0).collect()] == [1]
+
+
 def test_mixing_weights_and_shortage(spark):
     rows = [(i, "w " * 10, "en", "a1" if i < 50 else "a2", None) for i in range(52)] + [(100 + i, "w " * 10, "de", "b1", None) for i in range(50)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -296,3 +386,22 @@ def test_mixing_weights_and_shortage(spark):
     assert plan == {"a1": 180.0, "a2": 20.0, "b1": 200.0}  # the sibling takes a2's shortage
     assert "epochs" in mixing.mix(docs, weights).columns
     assert mixing.mix(docs.withColumn("epochs", docs.n_chars), weights).columns[-1] == "_epochs"
+
+
+def test_natives_on_null_ids_repeats_and_clashing_columns(spark):
+    text = "A train leaves at 5 hours and drives 60 km with 5 stops before it turns back home. Licensed under CC BY 4.0, ask joe@x.org"
+    rows = [(None, text, None, None, None), (None, text, None, None, None), (9007199254740993, text, "en", "src1", 1), (9007199254740993, text, "en", "src1", 1), (3, None, "en", "src1", 1), (4, "", None, "src1", 1), (5, "clean", "en", None, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("row", "key", "near", "base", "w", "g", "digest", "domain", "text_key"):
+        docs = docs.withColumn(name, F.lit(name))
+    bench = spark.createDataFrame([(None, text.split(".")[0]), (2, None)], "item_id long, text string")
+    ids = sorted((str(r.doc_id) for r in docs.collect()))
+    got = decontam.report(docs, bench).collect()
+    assert sorted(str(r.doc_id) for r in got) == ids and sum(r.contaminated for r in got) in (0, 4)
+    assert decontam.decontaminate(docs, bench).columns == docs.columns
+    for rows in (license_scan.scan(docs).collect(), pii.report(docs).collect(), exact_dedup.assign(docs).collect()):
+        assert sorted(str(r.doc_id) for r in rows) == ids
+    assert sum(r.n_base for r in license_scan.scan(docs).collect()) == 4 and sum(r.n_email for r in pii.report(docs).collect()) == 4
+    assert exact_dedup.deduplicate(docs).count() == 3 and exact_dedup.deduplicate(docs).columns == docs.columns
+    assert pii.sanitised(docs).columns == docs.columns and pii.sanitised(docs).count() == 7
+    assert mixing.mix(docs, targets=mixing.TARGETS).columns == [*docs.columns, "epochs"]
