@@ -6,18 +6,22 @@ removed. The steps:
 1. Equal texts are collapsed; a text of LENGTH bytes or more that has a copy is
    removed whole.
 2. Winnowing leaves out what can't repeat: each window of LENGTH bytes has an
-   anchor, the GRAM bytes in it with the smallest hash. Equal windows have equal
-   anchors, so that only windows whose anchor occurs twice are looked at.
-3. These windows' bytes are gathered into shards of about SHARD bytes. Each gets
+   anchor, the GRAM bytes in it with the smallest hash. A run is a series of windows
+   with one anchor. Equal windows have equal anchors, so that only runs whose anchor
+   occurs twice are looked at.
+3. Equal runs are collapsed: what occurs as a whole run elsewhere is a repeat, and
+   one of them stands for all. Where an anchor has one run only, no more is needed.
+4. The other runs' bytes are gathered into shards of about SHARD bytes. Each gets
    its suffix array by Larsson-Sadakane refinement (groups of equal prefixes are
    sorted by the ranks h bytes on, h doubling, until none is left), and common
    prefixes by Kasai's scan. Neighbours that share LENGTH bytes are repeats.
-4. Each shard hands over its sorted 96-bit digests of one window of each group,
+5. Each shard hands over its sorted 96-bit digests of one window of each group,
    cut into ranges of digests. The shards' parts of a range are merged by binary
    search; a digest of two shards is a repeat in both.
 
 A range holds a digest once for each shard, so that no passage, however often it
-occurs, makes a range large.
+occurs, makes a range large. Parts are never more than digests, so that their number
+grows with the input.
 
 Defined cases: a null text counts as empty; texts are UTF-8 bytes and repeats may
 cut characters; removed runs are judged on the input; equal texts are treated alike
@@ -27,7 +31,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -39,22 +42,21 @@ from pyspark.sql import functions as F
 from palimpsest.llm import vec
 from palimpsest.llm.common import discard, materialize
 
-LENGTH, GRAM = 200, 50
+LENGTH, GRAM = 200, 75
 SHARD = 1 << 20
 #: Windows that a merge of one range should hold.
 RANGE_ROWS = 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, starts and hashes of its runs of windows with one anchor.
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text, the runs of windows with one anchor: spans, the anchors' and the bytes' hashes.
 
-    A run goes to the next one's start, the last to the last window.
+    A span is the first window's start << 32 | the last one's + 1.
     """
     b = vec.Block(texts)
     n = len(b.raw)
-    none = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.int64),) * 3
     if n < length:
         return [none] * b.n
     sums = vec.prefix(b.raw)
@@ -77,9 +79,21 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[
     at = np.flatnonzero(first)
     own = b.owner(at)
     cut = np.searchsorted(own, np.arange(b.n + 1))
-    rel = (at - b.starts[own]).astype(np.int32)
+    last = np.minimum(np.append(at[1:], n), b.ends[own] - length + 1)
+    last = np.where(np.append(own[1:], -1) == own, last, b.ends[own] - length + 1)
+    span = ((at - b.starts[own]) << 32) | (last - b.starts[own])
+    whole = vec.span_hash_of(_grams(b.raw), at, last + length - 8).view(np.int64)
     hashes = low[at].view(np.int64)
-    return [(rel[x:y], hashes[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return [(span[x:y], hashes[x:y], whole[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _grams(buf: np.ndarray) -> np.ndarray:
+    """A scrambled number for the eight bytes from each position on.
+
+    Sums of these tell texts apart that sums of single bytes don't, such as the
+    Thue-Morse text and its complement.
+    """
+    return vec.mix(_eight(buf))
 
 
 def suffix_array(buf: np.ndarray) -> np.ndarray:
@@ -157,8 +171,9 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, cap: int = LENGTH, lane:
 
 def _digests(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """64 and 32 bits of each window."""
-    big = vec.span_hash(vec.prefix(buf), at, at + length)
-    small = vec.span_hash_of(_TABLE[buf], at, at + length)
+    grams = _grams(buf)
+    big = vec.span_hash_of(grams, at, at + length - 7)
+    small = vec.span_hash_of(vec.mix(grams + np.uint64(1)), at, at + length - 7)
     return big, (small >> np.uint64(32)).astype(np.uint32)
 
 
@@ -252,8 +267,7 @@ def _shards(texts: DataFrame, ranges: int, length: int, size: int) -> DataFrame:
         for pdf in batches:
             for row, text, found in zip(pdf["row"], pdf["text"], pdf["ranges"], strict=True):
                 data = vec.encode(text)
-                pairs = np.sort(np.frombuffer(b"".join(bytes(f) for f in found), np.int64).reshape(-1, 2), axis=0)
-                for a, e in _pieces(pairs, length, size):
+                for a, e in _pieces(_pairs(found), length, size):
                     held.append((row, a, data[a : e + length - 1]))
                     total += e + length - a
                     if total >= size:
@@ -289,55 +303,62 @@ def _merge_ranges(shards: DataFrame) -> DataFrame:
     return materialize(shards.groupBy("rng").applyInPandas(merge, "kind int, shard string, a binary, b binary, c binary"), "merged")
 
 
-def _release(*done: DataFrame) -> None:
-    """Delete tables that are used up, and let Spark drop the shuffles of finished jobs."""
-    for df in done:
-        discard(df)
-    gc.collect()
-    done[0].sparkSession.sparkContext._jvm.System.gc()
+def _pairs(spans: np.ndarray) -> np.ndarray:
+    """Spans (first << 32 | end) as sorted pairs."""
+    x = np.sort(np.asarray(spans, np.int64))
+    return np.column_stack([x >> 32, x & 0xFFFFFFFF])
+
+
+def _scan(length: int, gram: int):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            out = []
+            for _, texts in vec.blocks(column):
+                out += [(hashlib.sha256(t).digest(), len(t), *got) for t, got in zip(texts, anchors(texts, length, gram), strict=True)]
+            yield pd.DataFrame(out, columns=["key", "n_bytes", "spans", "hashes", "wholes"])
+
+    return F.pandas_udf(run, "key binary, n_bytes long, spans array<long>, hashes array<long>, wholes array<long>")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(rows, done): rows has row, doc_id, key, n_bytes, copies and rep; done has row, n_removed, n_spans, spans, kept_sha256."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for first, texts in vec.blocks(pdf["text"]):
-                got = anchors(texts, length, gram)
-                part = pdf.iloc[first : first + len(texts)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "key": [hashlib.sha256(t).digest() for t in texts], "n_bytes": [len(t) for t in texts], "starts": [s for s, _ in got], "hashes": [h for _, h in got]})
-
-    seen = docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, key binary, n_bytes long, starts array<int>, hashes array<long>")
+    seen = docs.select("doc_id", _scan(length, gram)("text").alias("s")).select("doc_id", "s.*")
     seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "anchors")
     # One of equal texts stands for all.
     groups = materialize(seen.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
     rows = seen.select("row", "doc_id", "key", "n_bytes").join(groups.hint("merge"), "key")
-    reps = seen.join(groups.select(F.col("rep").alias("row"), "copies").hint("merge"), "row")
-    runs = reps.where(F.size("starts") > 0).select("row", "n_bytes", F.posexplode("hashes").alias("at", "hash"), "starts")
-    runs = runs.select("row", "hash", F.get("starts", F.col("at")).alias("start"), F.coalesce(F.get("starts", F.col("at") + 1), (F.col("n_bytes") - length + 1).cast("int")).alias("end"))
-    runs = materialize(runs, "runs")
-    twice = materialize(runs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
-    pack = F.concat(_le("start"), _le("end"))
-    cand = runs.join(twice.hint("merge"), "hash", "left_semi").groupBy("row").agg(F.collect_list(pack).alias("ranges"))
-    cand = cand.join(seen.select("row", F.col("doc_id").alias("c_id"), F.col("key").alias("c_key")).hint("merge"), "row")
+    reps = seen.join(groups.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
+    runs = reps.where(F.size("spans") > 0).select("row", F.explode(F.arrays_zip("hashes", "wholes", "spans")).alias("r"))
+    runs = materialize(runs.select("row", F.col("r.hashes").alias("hash"), F.col("r.wholes").alias("whole"), F.col("r.spans").alias("span")), "runs")
+    often = runs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") < F.max("whole")).alias("varied")).where("n > 1").select("hash", "varied")
+    cand = materialize(runs.join(materialize(often, "often").hint("merge"), "hash"), "runs")
+    discard(runs)
+    # Of equal runs one is compared with the others of its anchor, and all are repeats.
+    same = cand.groupBy("hash", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "span")).alias("one")).where("n > 1").drop("n")
+    marked = cand.join(materialize(same, "same").hint("merge"), ["hash", "whole"], "left")
+    known, sent = F.col("one").isNotNull(), F.col("varied") & (F.col("one").isNull() | (F.col("one") == F.struct("row", "span")))
+    spans = marked.groupBy("row").agg(F.collect_list(F.when(known, F.col("span"))).alias("known"), F.collect_list(F.when(sent, F.col("span"))).alias("ranges"))
+    spans = spans.join(seen.select("row", F.col("doc_id").alias("c_id"), F.col("key").alias("c_key")).hint("merge"), "row")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
-    texts = keyed.join(cand.hint("merge"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key"))).select("row", "text", "ranges")
+    texts = keyed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key"))).select("row", "text", "known", "ranges")
     # A text comes twice only if a row is there several times over, doc_id and all.
     again = seen.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     texts = materialize(texts if again.isEmpty() else texts.dropDuplicates(["row"]), "candidates")
-    _release(runs, twice)
-    windows = texts.select(F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, x: acc + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
-    ranges = 1 << max(0, int(windows * 76 / RANGE_ROWS)).bit_length()
-    shards = _shards(texts, ranges, length, shard)
+    discard(cand)
+    windows = texts.select(F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(0xFFFFFFFF) - F.shiftright(x, 32)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    ranges = 1 << max(0, int(windows / RANGE_ROWS)).bit_length()
+    shards = _shards(texts.where(F.size("ranges") > 0).select("row", "text", "ranges"), ranges, length, shard)
     parts = _merge_ranges(shards)
-    found = parts.where("kind = 0").select("shard", "a")
+    # All ranges' starts of a shard together, as many as it has windows at most.
+    found = parts.where("kind = 0").groupBy("shard").agg(F.collect_list("a").alias("a"))
     layout = parts.where("kind = 2").select(F.col("shard").alias("of"), F.col("a").alias("offsets"), F.col("b").alias("owners"), F.col("c").alias("begins"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a, offsets, owners, begins in zip(pdf["a"], pdf["offsets"], pdf["owners"], pdf["begins"], strict=True):
-                starts = np.sort(np.frombuffer(a, np.int32)).astype(np.int64)
+                starts = np.unique(np.frombuffer(b"".join(bytes(x) for x in a), np.int32)).astype(np.int64)
                 off, own, beg = (np.frombuffer(x, np.int64) for x in (offsets, owners, begins))
                 seg = np.searchsorted(off, starts, side="right") - 1
                 cut = np.flatnonzero(np.diff(seg)) + 1
@@ -348,14 +369,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
 
     placed = found.join(layout.hint("merge"), found.shard == layout.of).select("a", "offsets", "owners", "begins").mapInPandas(place, "row long, runs binary")
     placed = materialize(placed, "placed")
-    _release(parts)
+    discard(parts)
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for row, text, parts in zip(pdf["row"], pdf["text"], pdf["all"], strict=True):
+            for row, text, known, parts in zip(pdf["row"], pdf["text"], pdf["known"], pdf["all"], strict=True):
                 data = vec.encode(text)
-                pairs = np.frombuffer(b"".join(bytes(x) for x in parts), np.int64).reshape(-1, 2)
+                pairs = np.frombuffer(b"".join(bytes(x) for x in ([] if parts is None else parts)), np.int64).reshape(-1, 2)
+                pairs = np.concatenate([pairs, _pairs(known)])
                 spans: list[list[int]] = []
                 for a, e in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
                     e += length - 1
@@ -372,16 +394,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
             yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "spans", "kept_sha256"])
 
     by_row = placed.groupBy("row").agg(F.collect_list("runs").alias("all"))
-    done = texts.select("row", "text").join(by_row.hint("merge"), "row").mapInPandas(cut_out, "row long, n_removed long, n_spans long, spans array<array<long>>, kept_sha256 string")
+    held = texts.select("row", "text", "known").join(by_row.hint("merge"), "row", "left").where((F.size("known") > 0) | F.col("all").isNotNull())
+    done = held.mapInPandas(cut_out, "row long, n_removed long, n_spans long, spans array<array<long>>, kept_sha256 string")
     return rows, materialize(done, "done")
 
 
-def _le(name: str) -> F.Column:
-    """A number as eight bytes, lowest first."""
-    x = F.lpad(F.hex(F.col(name).cast("long")), 16, "0")
-    return F.unhex(F.concat(*[F.substring(x, i, 2) for i in range(15, 0, -2)]))
-
-
 def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     rows, done = repeats(docs, length, gram, shard)
