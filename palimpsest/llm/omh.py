@@ -318,7 +318,9 @@ def _across(member: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     slack * (n1 + n2) of them at most.
     """
     slack = (1 - threshold) / (1 + threshold)
-    groups = _differing(_mixed(member.select("leader", "wkey", "comp", "n").distinct(), "leader"), seqs)
+    # Written first, or else the join below would go before distinct() and deal by leader.
+    once = materialize(member.select("leader", "wkey", "comp", "n").distinct(), "led")
+    groups = _differing(_mixed(once, "leader"), seqs)
     groups = materialize(groups.withColumn("far", F.col("d") > slack * (F.col("n") + F.col("m")) + 1e-6), "groups")
     each = groups.select("leader", "wkey", "comp", "n", "m", "d", "far", F.explode("diff").alias("token"))
     often = each.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
