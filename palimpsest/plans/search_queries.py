@@ -474,7 +474,7 @@ def x8(s, d):
     return _vocabulary(s, d).select("term", F.round(udfs.jaro_winkler(F.col("term"), F.reverse("term")), 6).alias("v"))
 
 
-@query("x13_sparse_cosine")
+@query("x13_sparse_cosine", with_(INDEX + ", nm as (select doc_id, sqrt(sum(tf::double * tf)) n from postings group by 1), dt as (select a.doc_id, sum(a.tf::double * b.tf) v from postings a join postings b on b.doc_id = a.doc_id + 1 and b.term = a.term group by 1)", "select x.doc_id, round(coalesce(v, 0) / (x.n * y.n), 6) v from nm x join nm y on y.doc_id = x.doc_id + 1 left join dt on dt.doc_id = x.doc_id"))
 def x13(s, d):
     i = doc_index(s, d)
     m = i.postings.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("tf").cast("double")))).alias("m"))
