@@ -116,7 +116,7 @@ def _verified(span: Column, marks: Column) -> Column:
 def scan(docs: DataFrame, phrases=None, notices=None) -> DataFrame:
     """A row for each document: its words, base hits, labels and score."""
     spark = docs.sparkSession
-    tpl = templates(spark, phrases, notices).cache()
+    tpl = templates(spark, phrases, notices)
     # The templates are constants of the code: a few hundred pairs.
     table = [0] * (_BITS // 64)
     for (h,) in tpl.select("pair").distinct().collect():
