@@ -35,7 +35,7 @@ def replace(pages: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pages, corrupt): rows of PAGE in the order of their source, and the records that aren't any."""
-    raw = spark.read.schema(f"{PAGE}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multiline).json(path).cache()
+    raw = spark.read.schema(f"{PAGE}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multiline).json(path)
     bad = F.col("_corrupt").isNotNull() | F.col("source").isNull()
     return raw.where(~bad).drop("_corrupt").orderBy("source"), raw.where(bad).select("_corrupt")
 
