@@ -45,24 +45,30 @@ BROADCAST_ROWS = 200_000
 _BITS = 1 << 18
 
 
-def _slots(text: Column, names: bool = True) -> Column:
-    """The lowered words, with names and units marked, aligned with the template's words."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[0-9])[.,](?=[0-9])", _POINT)
+def _plain(text: Column) -> Column:
+    """The text with decimals joined and units after numbers marked."""
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), "[.,](?<=[0-9][.,])(?=[0-9])", _POINT)
+    return F.regexp_replace(joined, rf"([0-9]\s++)(?=(?i:{'|'.join(UNITS)})(?![\p{{L}}0-9]))", f"$1{_UNIT}")
+
+
+def _slots(plain: Column, names: bool = True) -> Column:
+    """The lowered words of _plain(), names marked if wanted, aligned with the template's words."""
     if names:
-        marked = F.regexp_replace(marked, r"([a-z0-9,;]\s++)(?=\p{Lu}\p{Ll})", f"$1{_NAME}")
-        marked = F.replace(F.regexp_replace(marked, rf"({_NAME}\p{{L}}++)\s++(?={_NAME})", f"$1{_AND}"), F.lit(_AND + _NAME), F.lit(_AND))
-    marked = F.regexp_replace(F.lower(marked), rf"([0-9]\s++)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}0-9]))", f"$1{_UNIT}")
-    return F.filter(F.split(marked, GAP), lambda w: w != "")
+        marked = F.regexp_replace(plain, r"([a-z0-9,;]\s++)(?=\p{Lu}\p{Ll})", f"$1{_NAME}")
+        plain = F.replace(F.regexp_replace(marked, rf"({_NAME}\p{{L}}++)\s++(?={_NAME})", f"$1{_AND}"), F.lit(_AND + _NAME), F.lit(_AND))
+    return F.filter(F.split(F.lower(plain), GAP), lambda w: w != "")
 
 
 def _kind(w: Column) -> Column:
     """The placeholder of a word, or null if the word stands for itself."""
-    return F.when(w < ":", F.lit("<number>")).when(w.startswith(_NAME), F.lit("<name>")).when(w.startswith(_UNIT), F.lit("<unit>"))
+    special = F.when(w < ":", F.lit("<number>")).when(w.startswith(_NAME), F.lit("<name>")).when(w.startswith(_UNIT), F.lit("<unit>"))
+    return F.when((w < ":") | (w >= _NAME), special)
 
 
 def _hashed(df: DataFrame, k: int) -> DataFrame:
     """Adds words and window hashes, one for each start, in both forms: w, g and v, p."""
-    df = df.withColumn("w", _slots(F.col("text"))).withColumn("v", _slots(F.col("text"), names=False))
+    df = df.withColumn("plain", _plain(F.col("text")))
+    df = df.withColumn("w", _slots(F.col("plain"))).withColumn("v", _slots(F.col("plain"), names=False))
     return _rolled(_rolled(df, "w", "g", k), "v", "p", k)
 
 
