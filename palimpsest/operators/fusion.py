@@ -12,7 +12,7 @@ def ranked(scores: DataFrame, k: int | None = None, score: str = "score") -> Dat
 
     The bare row number is filtered, so that each task keeps its first k before the shuffle.
     """
-    out = scores.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), "doc_id")))
+    out = scores.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), F.asc_nulls_last("doc_id"))))
     out = out if k is None else out.where(F.col("rank") <= k)
     return out.withColumn("rank", F.col("rank") - 1)
 

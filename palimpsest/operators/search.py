@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import fusion
-from palimpsest.operators.index import BROADCAST_ROWS, Index
+from palimpsest.operators import fusion, nearest
+from palimpsest.operators.index import Index
 
 K1, B = 1.2, 0.75
 
@@ -54,16 +54,8 @@ def bm25(index: Index, queries: DataFrame, k: int = 200, min_should_match: float
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame:
-    """Exact top k by dot product; vectors (doc_id, embedding), queries (qid, embedding).
-
-    The queries are the side that is copied to every task; beyond BROADCAST_ROWS
-    Spark chooses how to pair them.
-    """
-    q = queries.select("qid", F.col("embedding").alias("q"))
-    if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        q = F.broadcast(q)
-    scored = vectors.crossJoin(q).select("qid", "doc_id", T.dot(F.col("embedding"), F.col("q")).alias("score"))
-    return fusion.ranked(scored, k)
+    """Exact top k by dot product; vectors (doc_id, embedding), queries (qid, embedding)."""
+    return nearest.by_dot(vectors, queries, k)
 
 
 def search(index: Index, queries: DataFrame, mode: str = "bm25", vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 8, bm25_k: int = 200, dense_k: int = 200, rrf_k: int = 60, per_file: int | None = 1, min_should_match: float = 0.6, reranker=None) -> DataFrame:
