@@ -80,3 +80,9 @@ def test_w1_ranks_equals_sql_without_rows_for_pairs(spark, vectors):
     got = catalog.queries()["w1_ranks"](spark, vectors)
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
     assert sorted(map(tuple, got.collect()), key=str) == _sql(vectors, "w1_ranks")
+
+
+def test_r6_dense_top10_equals_sql_without_rows_for_pairs(spark, vectors):
+    got = catalog.queries()["r6_dense_top10"](spark, vectors)
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    assert sorted(map(tuple, got.select("qid", "doc_id", "score", "rank").collect()), key=str) == _sql(vectors, "r6_dense_top10")
