@@ -456,7 +456,7 @@ def r4(s, d):
 def x7(s, d):
     w = table(s, d, "benchmark").select(F.col("item_id").alias("b_id"), F.get(F.split("text", " "), F.lit(0)).alias("b"))
     a = w.select(F.col("b_id").alias("a_id"), F.col("b").alias("a"), F.explode(F.sequence(F.col("b_id") + 1, F.col("b_id") + 5)).alias("b_id"))
-    return a.join(w, "b_id").where(F.concat("a", "b").rlike("^[A-Za-z.,]+$")).select("a_id", "b_id", F.round(udfs.jaro("a", "b"), 6).alias("v"))
+    return a.join(w, "b_id").where(F.concat("a", "b").rlike(r"^[A-Za-z.,]+\z")).select("a_id", "b_id", F.round(udfs.jaro("a", "b"), 6).alias("v"))
 
 
 def _vocabulary(s, d):
