@@ -1,9 +1,10 @@
 """Exact nearest vectors by dot product, block against block.
 
-Vectors and queries are dealt into a grid of cells. A matrix product, with a bound on
-its error, leaves out pairs that can't be among a query's best k of its cell; products
-of the others are added in the order of the elements, as SQL does, so that scores and
-ties are the same to the last bit. Pairs never become rows.
+Vectors and queries are dealt into a grid of cells. A matrix product, in single precision
+if all are floats and with a bound on its error, leaves out pairs that can't be among a
+query's best k of its cell: first groups of vectors by their best product, then vectors.
+Products of the others are added in the order of the elements, as SQL does, so that
+scores and ties are the same to the last bit. Pairs never become rows.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from palimpsest.operators import fusion
 VECTORS, QUERIES = 32768, 8192
 #: Most scores that leave a cell.
 FOUND = 1 << 22
-#: Rows compared and pairs scored at a time.
+#: Fewest vectors of a cell, if it is cut for more tasks; most queries compared and pairs scored at a time.
 _V, _Q, _PAIRS = 2048, 256, 4096
+#: Most products compared at a time, and vectors of a group, of which the best is compared first.
+_NEAR, _GROUP = 1 << 20, 16
 
 
 def by_dot(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, doc_id, score, rank): top k of each query; a score that can't be had is null and ranks last."""
     spark = vectors.sparkSession
     v, q = vectors.select("doc_id", "embedding"), queries.select("qid", "embedding")
-    n, m = v.count(), q.count()
+    n, m = v.select(F.lit(1).alias("v"), F.lit(0).alias("q")).union(q.select(F.lit(0), F.lit(1))).agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in "vq")).first()
     tasks, found = 3 * spark.sparkContext.defaultParallelism, max(1, min(k, n))
     # The more cells lie across, the more copies of vectors, the fewer scores: a vector is taken to be as long as eight scores.
     across = max(1, -(-m // max(1, min(QUERIES, FOUND // found))), min(-(-m // _Q), round((tasks * m * found / max(1, 8 * n)) ** 0.5)))
@@ -60,9 +63,8 @@ def best_of_cell(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         vs = np.flatnonzero(v_len == size) if size >= 0 else np.arange(0)
         if len(vs):
             a, b = _matrix(v_flat, v_from[vs], size), _matrix(q_flat, q_from[qs], size)
-            for lo in range(0, len(qs), _Q):
-                r, p, s = _best(a, b[lo : lo + _Q].astype("float64"), k)
-                found.append((qs[lo + r], vs[p], s, np.zeros(len(r), bool)))
+            r, p, s = _best(a, b, k)
+            found.append((qs[r], vs[p], s, np.zeros(len(r), bool)))
         # Without enough vectors of its length, a query gets others, in order of their ids.
         rest = np.flatnonzero((v_len != size) | (v_len < 0))[: max(0, k - len(vs))]
         none = len(qs) * len(rest)
@@ -91,30 +93,45 @@ def _elements(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _best(a: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of a, score) of the best k rows of a for each of q; NaN is the greatest, ties by row of a."""
-    n = len(q)
-    r, p, s = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
-    least, full = np.full(n, np.nan), np.zeros(n, bool)  # the kth score so far, of the queries that have k
+    (n, size), single = a.shape, a.dtype == q.dtype == np.float32
+    a, q = (a, q) if single else (a.astype("float64"), q.astype("float64"))
+    # Products of single precision must neither overflow nor lose more than this below the normal numbers.
+    unit, tiny, most = (2.0**-23, (size + 4) * 2.0**-125, 1e37) if single else (2.0**-51, 1e-300, np.inf)
+    found = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
     with np.errstate(all="ignore"):
-        for lo in range(0, len(a), _V):
-            part = a[lo : lo + _V].astype("float64")
-            # A matrix product adds in another order; this is more than it can differ by. What isn't a number here takes all rows.
-            off = (len(part.T) + 4) * 2.0**-51 * np.linalg.norm(q, axis=1) * np.linalg.norm(part, axis=1).max() + 1e-300
-            near = q @ part.T
-            if not lo and len(part) > k:
-                bound = np.nextafter(np.partition(near, len(part) - k, axis=1)[:, len(part) - k] - 2 * off, -np.inf)
-            else:  # rows are in order, so that an equal score comes too late once there are k
-                bound = least - off
-            i, j = np.divmod(np.flatnonzero(~(near <= np.where(np.isfinite(off), bound, np.nan)[:, None])), len(part))
-            exact = _scores(q, part, i, j)
-            take = ~(exact <= least[i])
-            r, p, s = np.concatenate([r, i[take]]), np.concatenate([p, lo + j[take]]), np.concatenate([s, exact[take]])
-            order = np.lexsort((p, -s, ~np.isnan(s), r))
-            r, p, s = r[order], p[order], s[order]
-            kept = np.arange(len(r)) - np.searchsorted(r, r) < k
-            r, p, s = r[kept], p[kept], s[kept]
-            full = np.bincount(r, minlength=n) >= k
-            least[full] = s[np.searchsorted(r, np.flatnonzero(full), side="right") - 1]
-    return r, p, s
+        v_norm, q_norm = _norms(a), _norms(q)
+        # Vectors of like length make a group, a column of order. The first may have places to fill up, which are -1.
+        group = max(1, min(_GROUP, n // (4 * k)))
+        fill, groups = -n % group, -(-n // group)
+        order = np.concatenate([np.full(fill, -1), np.argsort(v_norm, kind="stable")]).reshape(groups, group).T
+        rows, longest = a[order.ravel()], v_norm[order[-1]]
+        step = max(1, min(_Q, _NEAR // n))
+        for lo in range(0, len(q), step):
+            part = q[lo : lo + step]
+            near = (part @ rows.T).reshape(len(part), group, groups)
+            near[:, :fill, 0] = -np.inf
+            best = near.max(axis=1).astype("float64")
+            # A matrix product adds in another order, and may be of single precision; this is more than it can differ by.
+            length = q_norm[lo : lo + step, None] * longest
+            off = (size + 4) * unit * length + tiny
+            sure = np.isfinite(best) & np.isfinite(off) & (length < most)
+            # k groups have a score of at least the bound. What isn't a number here is taken.
+            bound = np.partition(np.where(sure, best - off, -np.inf), groups - k, axis=1)[:, groups - k] if groups >= k else np.full(len(part), -np.inf)
+            i, g = np.nonzero(~sure | (best + off >= bound[:, None]))
+            x, y = np.nonzero(~sure[i, g][:, None] | (near[i, :, g] + off[i, g][:, None] >= bound[i][:, None]))
+            i, j = i[x], order[y, g[x]]
+            i, j = i[j >= 0], j[j >= 0]
+            exact = _scores(part, a, i, j)
+            by = np.lexsort((j, -exact, ~np.isnan(exact), i))
+            by = by[np.arange(len(by)) - np.searchsorted(i[by], i[by]) < k]
+            found.append((lo + i[by], j[by], exact[by]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _norms(rows: np.ndarray) -> np.ndarray:
+    """Lengths of rows, scaled by the greatest element, so that small ones don't vanish."""
+    top = np.abs(rows).max(axis=1, initial=0).astype("float64")
+    return np.where(top == 0, 0, top * np.sqrt(((rows / top[:, None]) ** 2).sum(axis=1)))
 
 
 def _scores(q: np.ndarray, a: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -122,6 +139,6 @@ def _scores(q: np.ndarray, a: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     out = np.zeros(len(i))
     for lo in range(0, len(i), _PAIRS):
         at = slice(lo, lo + _PAIRS)
-        for x in (q[i[at]] * a[j[at]]).T:
+        for x in (q[i[at]].astype("float64") * a[j[at]]).T:
             out[at] += x
     return out

@@ -91,7 +91,7 @@ def j15(s, d):
 
 @query("w1_ranks", with_(_VEC, "select qid, doc_id, rank::int rank from dn"))
 def w1(s, d):
-    return _dense(s, d).select("qid", "doc_id", F.col("rank").cast("int").alias("rank"))
+    return _dense(s, d, 50).select("qid", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("w2_running_count", with_(BM25, "select qid, doc_id, row_number() over (partition by qid, source order by rank) seen from bm25 join documents using (doc_id)"))

@@ -126,15 +126,15 @@ def j3(s, d):
 _VEC = "ev as (select vec_id doc_id, embedding::double[] e from embeddings), qv as (select vec_id qid, embedding::double[] e from embeddings where vec_id % 20 = 0), dn as (select * from (select qid, doc_id, s score, row_number() over (partition by qid order by s desc, doc_id) - 1 rank from (select qv.qid, ev.doc_id, list_inner_product(ev.e, qv.e) s from ev, qv)) where rank < 50)"
 
 
-def _dense(s, d):
+def _dense(s, d, k):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "embedding")
-    return once(s, d, "dense", lambda: search.dense(v, q, 50).cache())
+    return search.dense(v, q, k)
 
 
 @query("r6_dense_top10", with_(_VEC, "select qid, doc_id, round(score, 6) score, rank::int rank from dn where rank < 10"))
 def r6(s, d):
-    return _out(_dense(s, d))
+    return _out(_dense(s, d, 10))
 
 
 @query("r18_cosine", "select a.vec_id a_id, b.vec_id b_id, round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) + 1e-8) / (sqrt(list_inner_product(b.e, b.e)) + 1e-8), 6) v from (select vec_id, embedding::double[] e from embeddings) a join (select vec_id, embedding::double[] e from embeddings) b on b.vec_id = a.vec_id + 1")

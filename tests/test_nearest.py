@@ -1,5 +1,7 @@
 """Exact nearest vectors, against brute force."""
 
+import re
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,44 @@ def test_blocks_keep_equal_and_near_equal_scores_in_order(monkeypatch, copies):
     assert sorted(map(tuple, got.select(["qid", "doc_id", "score"]).to_pandas().to_numpy().tolist())) == sorted(_brute(v, q, 20))
 
 
+def _cell(v, q, k):
+    lists = lambda x: pa.array(list(x), pa.list_(pa.float32()))
+    got = nearest.best_of_cell(pa.table({"doc_id": np.arange(len(v)), "embedding": lists(v)}), pa.table({"qid": np.arange(len(q)), "embedding": lists(q)}), k)
+    return [(i, j, repr(s)) for i, j, s in zip(*(got[c].to_pylist() for c in ("qid", "doc_id", "score")), strict=True)]
+
+
+@pytest.mark.parametrize("k", [1, 20, 150, 1 << 30])
+@pytest.mark.parametrize("near", [1 << 20, 1500])
+def test_single_precision_of_any_length_ranks_as_by_brute_force(monkeypatch, k, near):
+    monkeypatch.setattr(nearest, "_NEAR", near)
+    rng = np.random.default_rng(k)
+    v = rng.normal(size=(701, 12)) * 10.0 ** rng.integers(-40, 38, 701)[:, None]
+    v[200:], v[::9] = rng.normal(size=(501, 12)), v[300]  # lengths alike, and equal vectors
+    v[1::9] = v[300] * (1 + 2.0**-23)
+    v[5], v[6], v[7, 3], v[8, 2] = 3e38, 0, NAN, INF
+    q = np.concatenate([v[[5, 6, 7, 8, 20, 150, 300, 420]], rng.normal(size=(3, 12)), 1e-45 * np.ones((1, 12))])
+    with np.errstate(over="ignore"):
+        v, q = v.astype("float32"), q.astype("float32")
+    want = []
+    for i, x in enumerate(q.astype("float64")):
+        s = np.zeros(len(v))
+        with np.errstate(all="ignore"):
+            for a, b in zip(x, v.T.astype("float64"), strict=True):
+                s += a * b
+        want += [(i, j, repr(float(s[j]))) for j in sorted(range(len(v)), key=lambda j: (not np.isnan(s[j]), -s[j], j))[:k]]
+    assert sorted(_cell(v, q, k)) == sorted(want)
+
+
+def test_one_long_vector_does_not_have_all_pairs_scored(monkeypatch):
+    scored, scores = [], nearest._scores
+    monkeypatch.setattr(nearest, "_scores", lambda q, a, i, j: scored.append(len(i)) or scores(q, a, i, j))
+    rng = np.random.default_rng(0)
+    v, q = rng.normal(size=(4097, 16)), rng.normal(size=(64, 16))
+    v[7] = 1e15
+    assert len(_cell(v, q, 10)) == 640
+    assert sum(scored) < 4 * 640
+
+
 @pytest.fixture(scope="module")
 def vectors(tmp_path_factory):
     """1400 vectors: equal ones, and one without an id that ties with others."""
@@ -86,3 +126,9 @@ def test_r6_dense_top10_equals_sql_without_rows_for_pairs(spark, vectors):
     got = catalog.queries()["r6_dense_top10"](spark, vectors)
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
     assert sorted(map(tuple, got.select("qid", "doc_id", "score", "rank").collect()), key=str) == _sql(vectors, "r6_dense_top10")
+
+
+def test_r6_dense_top10_keeps_ten_of_each_query_and_no_cache(spark, vectors):
+    p = plan(catalog.queries()["r6_dense_top10"](spark, vectors))
+    assert "InMemoryTableScan" not in p
+    assert set(re.findall(r"WindowGroupLimit.*, (\d+), (?:Partial|Final)", p)) == {"10"}
